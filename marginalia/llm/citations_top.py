@@ -37,7 +37,7 @@ def best_citations(citations: DataFrame, chunks: DataFrame, n: int = 5) -> DataF
         .groupBy("chunk_id")
         .agg(F.max(F.struct("loaded_at", "source")).alias("v"))
         .select("chunk_id", F.col("v.source").alias("_group"))
-        .where(F.col("_group").isNotNull() & F.col("_group").rlike(r"[^\s ]"))
+        .where(F.col("_group").isNotNull() & F.col("_group").rlike(r"(?U)\S"))
     )
     hot = hot_keys(citations.select("chunk_id"), "chunk_id", 200)
     items = join_with_hot(latest, stored, "chunk_id", hot).select("_group", "_score", "_second", F.col("citation_id").alias("_id"))
