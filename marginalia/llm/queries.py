@@ -10,6 +10,7 @@ from marginalia.llm.citations_top import best_citations
 from marginalia.llm.packing import fill_containers
 from marginalia.llm.splits import assign_splits, path_key, related_groups, text_key
 from marginalia.llm.splitting import split_oversized
+from marginalia.llm.subjects import fit, subjects_of
 from marginalia.plans.tables import table
 
 CAPACITY = 2048
@@ -66,7 +67,23 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("least_containers", F.ceil(F.col("n_tokens") / CAPACITY)).withColumn("fill", F.try_divide(F.col("n_tokens"), F.col("n_containers") * CAPACITY))
 
 
-QUERIES = {"p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its subjects."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit(table(spark, sf_dir, "subject_examples"), documents, table(spark, sf_dir, "subjects"))
+    return subjects_of(documents.select("doc_id", "text"), model).select("doc_id", "subjects")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_subjects(spark, sf_dir).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject; null counts those without any."""
+    return p8_subjects(spark, sf_dir).select(F.explode_outer("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {"p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 _TOP = """
 WITH c AS (SELECT * FROM (
