@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import token_count, token_ids
 from marginalia.llm.citations_top import best_citations
+from marginalia.llm.overlap import Overlap
 from marginalia.llm.packing import fill_containers
 from marginalia.llm.splits import assign_splits, path_key, related_groups, text_key
 from marginalia.llm.splitting import split_oversized
@@ -16,6 +17,22 @@ from marginalia.plans.tables import table
 CAPACITY = 2048
 
 
+def _overlap(spark: SparkSession, sf_dir: str) -> Overlap:
+    return Overlap(table(spark, sf_dir, "relevance_labels_to_review"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).pairs()
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).counts()
+
+
+def p2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).cover()
+
+
 def p3_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_citations(table(spark, sf_dir, "citations"), table(spark, sf_dir, "sync_chunks"), 5)
 
@@ -83,7 +100,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_subjects(spark, sf_dir).select(F.explode_outer("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {"p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_cover": p2_cover, "p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 _TOP = """
 WITH c AS (SELECT * FROM (
