@@ -1,0 +1,38 @@
+"""Search terms of a text, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_TOKEN = r"([\p{L}\p{N}][\p{L}\p{N}_.+#/-]*)"
+_JOINTS = r"[.+#/-]+"
+
+
+def fold_case(c: Column) -> Column:
+    """Full case folding as far as it changes the letters of the corpus: lower case, and sharp s as ss."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
+
+def word_family(t: Column) -> Column:
+    """English plural and ``-ute`` forms to one term; other words, short ones and such with other characters stay."""
+    plain = t.rlike(r"^\p{L}{4,}$")
+    singular = (
+        F.when(t.endswith("ies") & (F.length(t) > 4), F.concat(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("y")))
+        .when(t.endswith("sses"), F.substring(t, F.lit(1), F.length(t) - 2))
+        .when(t.endswith("s") & ~t.rlike("(ss|us|is)$"), F.substring(t, F.lit(1), F.length(t) - 1))
+        .otherwise(t)
+    )
+    return F.when(plain, F.regexp_replace(singular, "(ution|uting|uted)$", "ute")).otherwise(t)
+
+
+def terms(c: Column) -> Column:
+    """All terms with repetitions, empty ones too: each token, then, if it's compound, its parts. Null gives ``[]``."""
+    tokens = F.regexp_extract_all(fold_case(F.coalesce(c, F.lit(""))), F.lit(_TOKEN), F.lit(1))
+    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(word_family(t)), F.transform(F.filter(F.split(t, _JOINTS, -1), lambda p: p != t), word_family))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two term arrays as sets; 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
