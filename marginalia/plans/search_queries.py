@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.config import RetrievalConfig
 from marginalia.functions.terms import terms
 from marginalia.operators.chunks import latest_by, stored_chunks
 from marginalia.operators.dense import nearest
@@ -14,6 +15,7 @@ from marginalia.operators.lexical import bm25, postings, term_frequencies
 from marginalia.operators.rerank import term_overlap
 from marginalia.operators.select import by_threshold, cap_per_paper, mmr, rerank_order, task_of
 from marginalia.plans.tables import table
+from marginalia.search import search
 
 TOP = 20
 EVERY = 100  # searches ask with every row whose id this divides, against all rows
@@ -141,11 +143,16 @@ def similarity_to_chunk(spark: SparkSession, d: str) -> DataFrame:
     return cited.join(stored, "chunk_id").select("citation_id", F.round(term_overlap(F.col("text"), F.col("stored")), 6).alias("likeness"))
 
 
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: every hundredth label's question through lexical search, fusion, reranking, threshold and diversity."""
+    return search(_questions(spark, d).select("query_id", "text"), _chunks(spark, d), RetrievalConfig())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, term_doc_freq, bm25_topk, bm25_scoped, dense_topk, dense_scoped, rrf_hybrid, rrf_weighted_variants, rerank_reserve, rerank_pairs,
-        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, infer_task, similarity_to_chunk,
+        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, infer_task, similarity_to_chunk, hybrid_search,
     )
 }
 
