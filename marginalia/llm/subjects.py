@@ -466,4 +466,5 @@ def subjects_of(documents: DataFrame, model: Model, *, text: str = "text", out:
             found.extend(m.label(t))
         return pa.array(found, pa.list_(pa.string()))
 
-    return documents.withColumn(out, label(F.col(text)))
+    # As nondeterministic, an explode of the result doesn't make the optimizer run the model once more in a filter.
+    return documents.withColumn(out, label.asNondeterministic()(F.col(text)))
