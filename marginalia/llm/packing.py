@@ -62,8 +62,7 @@ class _Unpacked:
         return found
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item; sizes in 1..capacity.  The same sizes give the same containers."""
+def _fill(sizes: np.ndarray, capacity: int, swap: bool) -> np.ndarray:
     container = np.zeros(len(sizes), dtype=np.int64)
     left, number = _Unpacked(sizes), 0
     while left.bits:
@@ -72,7 +71,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         while size := left.largest(gap):
             inside.append((size, left.take(size)))
             gap -= size
-        while gap and left.bits:
+        while swap and gap and left.bits:
             inside.sort(reverse=True)
             size, item = inside[-1]
             two = left.best_two(gap + size, size)
@@ -88,6 +87,20 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return container
 
 
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each item; sizes in 1..capacity.  The same sizes give the same containers.
+
+    Tighter containers now can leave large items without small partners for later.  Where the
+    exchanges don't reach the least possible number, the plain fill is made too and the better one kept.
+    """
+    best = _fill(sizes, capacity, True)
+    if len(sizes) and best.max() + 1 > -(-int(sizes.sum()) // capacity):
+        plain = _fill(sizes, capacity, False)
+        if plain.max() < best.max():
+            return plain
+    return best
+
+
 def _pack_block(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_item")
