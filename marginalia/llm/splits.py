@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.terms import fold_case
 from marginalia.runtime import Scratch, join_with_hot
 
 #: A node or component with more than one part in so many of all rows counts as large: there are fewer of them than this.
@@ -22,7 +23,7 @@ MOST_ROUNDS = 60
 
 def text_key(c: Column) -> Column:
     """A text but for letter case and white space of any kind; null if nothing remains."""
-    bare = F.regexp_replace(F.lower(F.upper(c)), r"(?U)\s+", "")
+    bare = F.regexp_replace(fold_case(F.upper(c)), r"(?U)\s+", "")
     return F.when(bare != "", bare)
 
 
@@ -34,7 +35,7 @@ def path_key(c: Column) -> Column:
     """
     slashed = F.regexp_replace(c, r"\\", "/")
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(slashed, r"\+", "%2B")), slashed)
-    plain = F.regexp_replace(F.lower(F.upper(F.regexp_replace(decoded, r"\\", "/"))), r"(?U)^\s+|\s+$", "")
+    plain = F.regexp_replace(fold_case(F.upper(F.regexp_replace(decoded, r"\\", "/"))), r"(?U)^\s+|\s+$", "")
     steps = F.filter(F.split(plain, "/"), lambda s: ~s.isin("", "."))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
     joined = F.array_join(walked, "/")
