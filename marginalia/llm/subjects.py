@@ -5,7 +5,8 @@
 2. Terms.  Words carry a log-lift for each subject: how much more often a sentence with the
    word is about the subject than any sentence.  Lifts come first from the labelled
    examples, then from the counts of all words over all sentences of the whole corpus, each
-   sentence weighted by what the first lifts say about it and its document.  A word that
+   sentence weighted by what the first lifts say about the rest of its document and by the
+   folder its source lies in.  A word that
    turns up in documents of every subject, as in a figure of speech, so has no lift.
    (Word pairs were tried and left out: on held-out examples they added nothing.)
 3. Chain.  Each subject, the more frequent first, has a logistic model over the share of
@@ -38,7 +39,7 @@ LEAST_SENTENCES = 4
 LEAST_WORDS = 5  # of a sentence; shorter pieces are headings, page numbers and crumbs of lists
 ABOUT = 1.6  # summed lift from which a sentence is about a subject
 SMOOTHING = 1.5
-PURE = 0.6  # smoothed part of a term's sentences about its first subject
+PURE = 0.5  # smoothed part of a word's sentences that must count for its first subject
 LEAST_KNOWN = 0.15  # share of decided sentences from which a document teaches its other terms
 BEAM = 8
 
@@ -335,19 +336,30 @@ def example_weights(s: Sentences, n_words: int, words: list[str], truth: np.ndar
     return weight, table
 
 
-def corpus_weights(s: Sentences, table: TermTable, k: int) -> np.ndarray:
-    """What each sentence of unlabelled documents counts for each subject; rows sum to 1, or to 0 in a document of which too little is known.
+def corpus_weights(s: Sentences, table: TermTable, k: int, folder: np.ndarray | None = None) -> np.ndarray:
+    """What each sentence of unlabelled documents counts for each subject; rows sum to 1, or to 0 where nothing is known.
 
-    A sentence counts for its own subject and for what its document is about half each, or, undecided, for the latter alone.
+    A sentence counts for what the *other* sentences of its document are about, never for its own decision, or a word that was
+    wrongly learnt would confirm itself.  ``folder`` (a subject or -1 for each document) is the subject whose
+    name the document's source folder bears: a hint for the corpus statistics, half of the weight or, where the other sentences
+    tell too little, all.  It is no feature of the document itself, whose subjects follow from its sentences alone.
     """
     subject = about(sentence_scores(s, table))
-    share, _ = shares(s, subject, k)
-    whole = share.sum(axis=1, keepdims=True)
-    document = np.where(whole >= LEAST_KNOWN, share / np.maximum(whole, 1e-9), 0.0)
-    weight = document[s.document] if len(s.document) else np.zeros((0, k))
-    own = np.flatnonzero((subject >= 0) & (weight.sum(axis=1) > 0))
-    weight[own] *= 0.5
-    weight[own, subject[own]] += 0.5
+    n_sentences = np.bincount(s.document, minlength=s.n_documents)
+    hit = subject >= 0
+    counts = np.bincount(s.document[hit] * k + subject[hit], minlength=s.n_documents * k).reshape(s.n_documents, k).astype(float)
+    others = counts[s.document]
+    others[np.flatnonzero(hit), subject[hit]] -= 1.0
+    known = others.sum(axis=1)
+    told = known >= np.maximum(1.0, LEAST_KNOWN * n_sentences[s.document])
+    weight = np.where(told[:, None], others / np.maximum(known, 1.0)[:, None], 0.0)
+    if folder is not None and len(weight):
+        named = folder[s.document]
+        hint = np.zeros_like(weight)
+        hint[np.flatnonzero(named >= 0), named[named >= 0]] = 1.0
+        both = told & (named >= 0)
+        weight[both] = 0.5 * weight[both] + 0.5 * hint[both]
+        weight[~told] = hint[~told]
     return weight
 
 
@@ -364,7 +376,14 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]
         yield texts.slice(a, b - a).to_pylist()
 
 
-def _count_batches(sent: object, k: int):
+def _folders(sources: list[str | None], subjects: list[str]) -> np.ndarray:
+    """The subject that the first folder of each source is named after; -1 if none."""
+    place = {name: i for i, name in enumerate(subjects)}
+    return np.array([place.get((x or "").lstrip("./ ").split("/", 1)[0].strip().lower(), -1) for x in sources], dtype=np.int64)
+
+
+def _count_batches(sent: object, subjects: list[str]):
+    k = len(subjects)
     names = ["word", *(f"c{j}" for j in range(k + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,9 +396,11 @@ def _count_batches(sent: object, k: int):
             return pa.RecordBatch.from_arrays([pa.array(word, pa.string())] + [pa.array(np.append(sentences if j == k else 0.0, total[used, j])) for j in range(k + 1)], names)
 
         for batch in batches:
+            at, folder = 0, _folders(batch.column(1).to_pylist(), subjects)
             for texts in _slices(batch.column(0)):
                 s = read_sentences(texts, words, np.zeros(0, bool))
-                weight = corpus_weights(s, table, k)
+                weight = corpus_weights(s, table, k, folder[at : at + len(texts)])
+                at += len(texts)
                 counts = count_words(s, weight, len(words.list) + _RESERVED)
                 counts[: len(total)] += total
                 total, sentences = counts, sentences + float((weight.sum(axis=1) > 0).sum())
@@ -392,7 +413,7 @@ def _count_batches(sent: object, k: int):
     return run
 
 
-def corpus_counts(documents: DataFrame, text: str, table: TermTable, k: int) -> tuple[list[str], np.ndarray]:
+def corpus_counts(documents: DataFrame, text: str, source: str | None, table: TermTable, subjects: list[str]) -> tuple[list[str], np.ndarray]:
     """Words of the whole corpus that lean to one subject, with their counts.
 
     All sentences of all documents are counted; tasks hand on one row a word.  Only
@@ -400,8 +421,9 @@ def corpus_counts(documents: DataFrame, text: str, table: TermTable, k: int) ->
     (words a sentence) / LEAST_PART of them whatever the size of the corpus.
     """
     spark = documents.sparkSession
-    names = [f"c{j}" for j in range(k + 1)]
-    counted = documents.select(text).mapInArrow(_count_batches(spark.sparkContext.broadcast(table), k), "word string, " + ", ".join(f"{c} double" for c in names))
+    names = [f"c{j}" for j in range(len(subjects) + 1)]
+    told = documents.select(F.col(text).alias("text"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"))
+    counted = told.mapInArrow(_count_batches(spark.sparkContext.broadcast(table), subjects), "word string, " + ", ".join(f"{c} double" for c in names))
     by_word = Scratch(spark, "subjects").write(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "words")
     every = by_word.where(F.col("word") == _ALL).select(names[-1]).first()
     least = max(LEAST_SENTENCES, LEAST_PART * (every[0] if every else 0.0))
@@ -410,11 +432,12 @@ def corpus_counts(documents: DataFrame, text: str, table: TermTable, k: int) ->
     return kept["word"].tolist(), kept[names].to_numpy(dtype=float)
 
 
-def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text: str = "text", labels: str = "subjects") -> Model:
+def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text: str = "text", labels: str = "subjects", source: str | None = "source") -> Model:
     """The model of all steps but decoding.
 
     ``examples`` are labelled rows, at most MOST_EXAMPLES (more raise an error); rows with null text or
-    labels and labels that are no subject don't count.  ``documents`` is the whole corpus.
+    labels and labels that are no subject don't count.  ``documents`` is the whole corpus; a column ``source``, if there, gives a
+    hint by its folders (see :func:`corpus_weights`).
     """
     names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())
     k = len(names)
@@ -429,7 +452,7 @@ def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text:
     words = Words(grow=True)
     s = read_sentences([r[0] for r in rows], words, np.zeros(0, bool))
     weight, first = example_weights(s, len(words.list) + _RESERVED, list(words.list), truth, prior)
-    corpus_words, counts = corpus_counts(documents, text, first, k)
+    corpus_words, counts = corpus_counts(documents, text, source if source in documents.columns else None, first, names)
     for w in corpus_words:
         if w not in words:
             words._add(w)
