@@ -341,8 +341,8 @@ def corpus_weights(s: Sentences, table: TermTable, k: int, folder: np.ndarray |
 
     A sentence counts for what the *other* sentences of its document are about, never for its own decision, or a word that was
     wrongly learnt would confirm itself.  ``folder`` (a subject or -1 for each document) is the subject whose
-    name the document's source folder bears: a hint for the corpus statistics, half of the weight or, where the other sentences
-    tell too little, all.  It is no feature of the document itself, whose subjects follow from its sentences alone.
+    name the document's source folder bears: a hint for the corpus statistics where the other sentences tell too little.
+    It is no feature of the document itself, whose subjects follow from its sentences alone.
     """
     subject = about(sentence_scores(s, table))
     n_sentences = np.bincount(s.document, minlength=s.n_documents)
@@ -355,11 +355,8 @@ def corpus_weights(s: Sentences, table: TermTable, k: int, folder: np.ndarray |
     weight = np.where(told[:, None], others / np.maximum(known, 1.0)[:, None], 0.0)
     if folder is not None and len(weight):
         named = folder[s.document]
-        hint = np.zeros_like(weight)
-        hint[np.flatnonzero(named >= 0), named[named >= 0]] = 1.0
-        both = told & (named >= 0)
-        weight[both] = 0.5 * weight[both] + 0.5 * hint[both]
-        weight[~told] = hint[~told]
+        hinted = np.flatnonzero(~told & (named >= 0))
+        weight[hinted, named[hinted]] = 1.0
     return weight
 
 
