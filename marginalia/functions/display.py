@@ -7,13 +7,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that head a bibliography.
 _HEADING = r"(?im)^\s*(?:#{1,6}\s*)?(?:\*\*|__)?\s*(?:\d+[.)]?\s*)?(?:references|bibliography|works cited)\s*(?:\*\*|__)?\s*:?\s*$"
 _ENTRY = r"(?m)^\s*(?:[-*]\s*)?\[\d{1,4}\]\s+\p{Lu}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities resolved; the table of names is Python's."""
     return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
