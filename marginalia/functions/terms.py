@@ -16,20 +16,30 @@ def fold_case(c: Column) -> Column:
 
 def word_family(t: Column) -> Column:
     """English plural and ``-ute`` forms to one term; other words, short ones and such with other characters stay."""
-    plain = t.rlike(r"^\p{L}{4,}$")
+    plain = (F.length(t) >= 4) & (t.endswith("s") | t.endswith("ution") | t.endswith("uting") | t.endswith("uted")) & t.rlike(r"^\p{L}{4,}$")
     singular = (
         F.when(t.endswith("ies") & (F.length(t) > 4), F.concat(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("y")))
         .when(t.endswith("sses"), F.substring(t, F.lit(1), F.length(t) - 2))
-        .when(t.endswith("s") & ~t.rlike("(ss|us|is)$"), F.substring(t, F.lit(1), F.length(t) - 1))
+        .when(t.endswith("s") & ~(t.endswith("ss") | t.endswith("us") | t.endswith("is")), F.substring(t, F.lit(1), F.length(t) - 1))
         .otherwise(t)
     )
     return F.when(plain, F.regexp_replace(singular, "(ution|uting|uted)$", "ute")).otherwise(t)
 
 
+def tokens_of(c: Column) -> Column:
+    """Case-folded tokens of a text; null gives ``[]``."""
+    return F.regexp_extract_all(fold_case(F.coalesce(c, F.lit(""))), F.lit(_TOKEN), F.lit(1))
+
+
+def pieces_of(token: Column) -> Column:
+    """A token and, if it's compound, its parts, empty ones too."""
+    parts = F.filter(F.split(token, _JOINTS, -1), lambda p: p != token)
+    return F.when(token.rlike(r"[.+#/-]"), F.concat(F.array(token), parts)).otherwise(F.array(token))
+
+
 def terms(c: Column) -> Column:
     """All terms with repetitions, empty ones too: each token, then, if it's compound, its parts. Null gives ``[]``."""
-    tokens = F.regexp_extract_all(fold_case(F.coalesce(c, F.lit(""))), F.lit(_TOKEN), F.lit(1))
-    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(word_family(t)), F.transform(F.filter(F.split(t, _JOINTS, -1), lambda p: p != t), word_family))))
+    return F.flatten(F.transform(tokens_of(c), lambda t: F.transform(pieces_of(t), word_family)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

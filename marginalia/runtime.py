@@ -68,6 +68,11 @@ class Scratch:
             pass
 
 
+def parallel(spark: SparkSession) -> int:
+    """Parts for work that is heavy for its bytes: the session's shuffle partitions, or its cores if they are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def blocks_for(rows: int, rows_per_block: int) -> int:
     """Hash blocks needed so that one holds about ``rows_per_block`` rows; at least one."""
     return max(1, -(-rows // rows_per_block))
