@@ -76,7 +76,7 @@ def with_ordinals(rows: DataFrame, blocks: int, known: DataFrame | None = None)
     else:
         rows = rows.join(known.select(F.col("_block"), F.col("_key"), F.col("_ordinal").alias("_old")).repartition("_block"), ["_block", "_key"], "left")
         base = known.groupBy("_block").agg(F.max("_ordinal").alias("_base"))
-        rows = rows.join(F.broadcast(base), "_block", "left")  # one row per block
+        rows = rows.join(base, "_block", "left")  # one row a block; by size, not by hint
     first = F.min("_snapshot").over(W.partitionBy("_block", "_key"))
     fresh = F.dense_rank().over(W.partitionBy("_block", F.col("_old").isNull()).orderBy("_first", "_key"))
     start = F.coalesce(F.col("_base"), F.lit(-1)) if known is not None else F.lit(-1)
