@@ -10,7 +10,10 @@
    into maximal matches.  Merged, their spans tell how much of a training question evaluation
    questions hold; a match that spans it wholly names the questions that hold it.
 3. Those are compared exactly, word by word.
-4. Pairs of question classes are expanded to pairs of rows, large classes in salted parts.
+4. A slip in a word too rare to be ordinary leaves two questions that agree in all words but one: such
+   classes meet by their other words and what the two words share, and pair if the two are one
+   slip apart and neither is a name or number.
+5. Pairs of question classes are expanded to pairs of rows, large classes in salted parts.
 
 Shards go by the words that must not differ, so a training question meets one shard;
 shards that would be too large are cut, and training questions go to each part.
@@ -163,12 +166,15 @@ def _canon(sent: object):
     return run
 
 
-def ordinary_words(tokens: DataFrame) -> Ordinary:
-    """From all distinct questions: words frequent enough and not mostly written with a capital, or frequent beyond doubt."""
-    total = tokens.count()
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """For each word the distinct questions that hold it, and those where it's written small or with a capital inside a sentence."""
     each = tokens.select("query", F.explode(F.arrays_zip("words", "case")).alias("t")).select("query", "t.words", "t.case")
     per_query = each.groupBy("query", "words").agg(F.max((F.col("case") == 1).cast("int")).alias("small"), F.max((F.col("case") == 2).cast("int")).alias("capital"))
-    counts = per_query.groupBy("words").agg(F.count(F.lit(1)).alias("n"), F.sum("small").alias("small"), F.sum("capital").alias("capital"))
+    return per_query.groupBy("words").agg(F.count(F.lit(1)).alias("n"), F.sum("small").alias("small"), F.sum("capital").alias("capital"))
+
+
+def ordinary_words(counts: DataFrame, total: int) -> Ordinary:
+    """From the words of all ``total`` distinct questions: those frequent enough and not mostly written with a capital, or frequent beyond doubt."""
     frequent = F.col("n") >= max(3, ORDINARY_PART * total)
     common = F.col("n") >= max(20, COMMON_PART * total)
     mostly_small = F.col("small") > F.col("capital")
@@ -238,7 +244,8 @@ class Overlap:
         rows = rows.withColumn("side", side).withColumn("split", split).where("side IS NOT NULL AND query IS NOT NULL")
         queries = rows.select("query").distinct()
         tokens = self.scratch.write(queries.mapInArrow(_tokens, "query string, words array<string>, case array<int>").where(F.size("words") > 0), "tokens")
-        sent = spark.sparkContext.broadcast(ordinary_words(tokens))
+        self.word_counts = self.scratch.write(word_counts(tokens), "counts")
+        sent = spark.sparkContext.broadcast(ordinary_words(self.word_counts, tokens.count()))
         canon = tokens.mapInArrow(_canon(sent), "query string, strict array<string>, loose array<string>").where((F.size("strict") > 0) | (F.size("loose") > 0))
         name = F.md5(F.concat_ws("\u0001", F.array_join("strict", "\u0002"), F.array_join("loose", "\u0002")))
         canon = self.scratch.write(canon.withColumn("class", name), "canon")
@@ -265,7 +272,33 @@ class Overlap:
         streams = index.join(parts.select("shard", "streams"), "shard").where("streams > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream")).drop("streams")
         keys = ["shard", "part", "stream"]
         found = training.groupBy(*keys).cogroup(streams.groupBy(*keys)).applyInArrow(_search, _MATCHES_SQL)
-        return self.scratch.write(found, "matches")
+        return self.scratch.write(found.unionByName(self._rare_slips()), "matches")
+
+    def _rare_slips(self) -> DataFrame:
+        """Pairs of classes that agree but for one word each, the two one slip apart and too rare to be ordinary.
+
+        Neither may be a name or hold a digit, and one must be seen written small.  Two words that both stand in several
+        contexts, neither SLIP_RARER times as many as the other's, are different words.  Two slips in the same word pair by way of that word.
+        """
+        at = self.classes.select("class", "n_c", "n_e", "strict", "loose", F.posexplode("strict").alias("at", "word")).where((F.length("word") >= 3) & ~F.col("word").rlike("[0-9]"))
+        others = F.concat(F.slice("strict", F.lit(1), F.col("at")), F.slice("strict", F.col("at") + 2, F.size("strict")))
+        at = at.where(F.size("strict") + F.size("loose") > 1).withColumn("context", F.md5(F.concat_ws("\u0001", F.array_join(others, "\u0002"), F.array_join("loose", "\u0002"))))
+        case = self.word_counts.where((F.col("small") > F.col("capital")) | (F.col("capital") == 0)).select(F.col("words").alias("word"), (F.col("small") > 0).alias("small"))
+        at = self.scratch.write(at.select("class", "n_c", "n_e", "word", "context").distinct().join(case, "word"), "rare")
+        contexts = at.groupBy("word").agg(F.countDistinct("context").alias("n"))
+        at = at.join(contexts, "word").select("context", F.struct("n", "word", "class", "n_c", "n_e", "small").alias("w"))
+        # Words one slip apart have a form in common: themselves, or without one letter.
+        near = at.select("context", "w", F.explode(F.array_distinct(F.expr("concat(array(w.word), transform(sequence(1, length(w.word)), i -> concat(left(w.word, i - 1), substring(w.word, i + 1))))"))).alias("form"))
+        both = near.join(near.select("context", "form", F.col("w").alias("v")), ["context", "form"]).where("w.word <> v.word").select("w", "v").distinct()
+        few = F.least("w.n", "v.n") <= F.greatest(F.lit(1), F.greatest("w.n", "v.n") / SLIP_RARER)
+        apart = F.udf(lambda a, b: one_slip(a, b), "boolean")("w.word", "v.word")
+        edges = self.scratch.write(both.where((F.col("w.small") | F.col("v.small")) & few & (F.greatest(F.length("w.word"), F.length("v.word")) >= 4)).where(apart), "rare_slips")
+        # The word a slip was meant to be: the one in more contexts, or else the later.
+        meant = edges.where("w < v").groupBy("w").agg(F.max("v").alias("v"))
+        twice = meant.join(meant.select(F.col("w").alias("u"), "v"), "v").where("w.class <> u.class").select("w", F.col("u").alias("v"))
+        pairs = edges.unionByName(twice).where("w.n_c > 0 AND v.n_e > 0").select(F.col("w.class").alias("class_c"), F.col("v.class").alias("class_e")).distinct()
+        size = self.classes.select(F.col("class").alias("class_c"), (2 * F.size("strict") + F.size("loose")).alias("n_words"))  # of the written form
+        return pairs.join(size, "class_c").select("class_c", "class_e", "n_words", F.col("n_words").alias("n_covered"))
 
     def pairs(self) -> DataFrame:
         """(``label_id_a``, ``label_id_b``), the smaller first: every training and evaluation row that ask the same."""

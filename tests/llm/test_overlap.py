@@ -133,3 +133,21 @@ def test_nulls_blanks_and_empty(spark):
     labels = spark.createDataFrame([(i, q, s, None, None, None, None) for i, q, s in rows], SCHEMA)
     assert [tuple(r) for r in Overlap(labels).pairs().collect()] == [(6, 7)]
     assert Overlap(labels.limit(0)).pairs().collect() == [] and Overlap(labels.limit(0)).counts().collect() == []
+
+
+def test_slips_in_rare_words(spark):
+    """Each topic word stands in one question only, far too rarely to be ordinary."""
+    base = [f"What recall does the Foboloku study report for {w} in small clinics?" for w in ("marmosets", "sturgeon", "gravestone", "zeppelins")]
+    rows = [(i, q, "calibration") for i, q in enumerate(base)]
+    rows += [(10, base[0].replace("marmosets", "marmsets"), "golden"), (11, base[1].replace("sturgeon", "strugeon"), "golden")]
+    rows += [(12, base[2].replace("gravestone", "gravestane").upper(), "golden"), (13, base[3].replace("zeppelins", "zepplins").replace("Foboloku", "Fobaloku"), "golden")]
+    rows += [(14, base[3].replace("zeppelins", "pelicans"), "golden"), (15, base[3].replace("zeppelins", "zeppelinns"), "golden"), (16, base[3].replace("zeppelins", "zepelins"), "calibration")]
+    # Another name or content word that stands in several questions, in small letters as well.
+    rows += [(20 + i, f"How many {w} did the coastal survey count in {p}?", "calibration") for w in ("lamprey", "lampreys") for i, p in enumerate(("rivers", "lakes", "ponds"), 3 * (w == "lampreys"))]
+    rows += [(30, "How many lampreys did the coastal survey count in rivers?", "golden"), (31, base[0].replace("Foboloku", "Foboloko").lower(), "golden")]
+    rows += [(100 + i, f"What recall does the Bagadu study report for {i} crews in small clinics?", "calibration") for i in range(8000)]
+    labels = spark.createDataFrame([(i, q, s, None, None, None, None) for i, q, s in rows], SCHEMA)
+    o = Overlap(labels)
+    assert {tuple(r) for r in o.pairs().collect()} == {(0, 10), (1, 11), (2, 12), (3, 15), (15, 16), (23, 30)}
+    assert o.counts().agg(F.sum("n_pairs")).first()[0] == 6
+    assert {r.tenths: r.n_rows for r in o.cover().collect()}[10] >= 6
