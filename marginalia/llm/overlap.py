@@ -38,7 +38,7 @@ CLASSES_PER_SHARD = 20_000
 PAIRS_PER_PART = 500_000
 #: An ordinary word occurs in this part of all distinct questions (and in 3 at least), so there are fewer than words-a-question / part of them.
 ORDINARY_PART = 5e-4
-#: From this part on a word is ordinary even if it's written with a capital.
+#: From this part on a word is ordinary even if nothing shows that it's written small, or if it's a German noun; a name never is.
 COMMON_PART = 0.03
 #: A word is taken for a slip of another if it's this much rarer.
 SLIP_RARER = 15
@@ -52,6 +52,11 @@ _FUNCTION = frozenset(
     der die das den dem des ein eine einer einem eines im am vom zum zur bei mit von zu auf unter aus und oder ist sind war waren es
     el los las una unos unas del al con por para y o u e es son fue""".split()
 )
+# German words that stand before a noun; a name seldom follows them, unless a noun follows it.
+_DETERMINERS = tuple(
+    """der die das den dem des ein eine einen einem einer eines welcher welche welches welchen welchem dieser diese dieses diesen diesem jeder jede jedes jeden jedem
+    kein keine keinen keinem keiner keines im am vom zum zur beim ins ans""".split()
+)
 # Words of phrases that lead into a question or end it.
 _LEAD = frozenset(
     """hi hello hey so well ok okay now q question quick sorry again ask asking please kindly tell me us you your could can may would will like want need know i we my wonder wondering say let just
@@ -117,7 +122,7 @@ class Ordinary:
     def meant(self, word: str, as_name: bool = False) -> str:
         """``word`` itself if ordinary, short, with a digit, or near no ordinary word; of several near ones one with the same first letter, then the most frequent.
 
-        ``as_name``: written with a capital inside a sentence; then only words that are always so written are meant.
+        ``as_name``: written with a capital inside a sentence; then only words that aren't mostly written small are meant.
         """
         if word in self.count or len(word) < 4 or any(c.isdigit() for c in word):
             return word
@@ -167,18 +172,24 @@ def _canon(sent: object):
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
-    """For each word the distinct questions that hold it, and those where it's written small or with a capital inside a sentence."""
-    each = tokens.select("query", F.explode(F.arrays_zip("words", "case")).alias("t")).select("query", "t.words", "t.case")
-    per_query = each.groupBy("query", "words").agg(F.max((F.col("case") == 1).cast("int")).alias("small"), F.max((F.col("case") == 2).cast("int")).alias("capital"))
-    return per_query.groupBy("words").agg(F.count(F.lit(1)).alias("n"), F.sum("small").alias("small"), F.sum("capital").alias("capital"))
+    """For each word the distinct questions that hold it, and those where it's written small, with a capital inside a sentence, or so as a German noun."""
+    each = tokens.select("query", "words", "case", F.posexplode("words").alias("at", "word"))
+    case, before, after = (F.get("case", F.col("at")), F.get("words", F.col("at") - 1), F.get("case", F.col("at") + 1))
+    noun = (case == 2) & F.coalesce(before.isin(*_DETERMINERS), F.lit(False)) & (F.coalesce(after, F.lit(0)) != 2)
+    each = each.select("query", F.col("word").alias("words"), (case == 1).cast("int").alias("small"), (case == 2).cast("int").alias("capital"), noun.cast("int").alias("noun"))
+    kinds = ("small", "capital", "noun")
+    per_query = each.groupBy("query", "words").agg(*(F.max(c).alias(c) for c in kinds))
+    return per_query.groupBy("words").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in kinds))
 
 
 def ordinary_words(counts: DataFrame, total: int) -> Ordinary:
-    """From the words of all ``total`` distinct questions: those frequent enough and not mostly written with a capital, or frequent beyond doubt."""
+    """From the words of all ``total`` distinct questions: those frequent enough and mostly written small, or frequent beyond doubt and no names."""
     frequent = F.col("n") >= max(3, ORDINARY_PART * total)
     common = F.col("n") >= max(20, COMMON_PART * total)
     mostly_small = F.col("small") > F.col("capital")
-    rows = counts.where(frequent & (mostly_small | common) & ~F.col("words").rlike("[0-9]")).select("words", "n", mostly_small).collect()
+    noun = 2 * F.col("noun") > F.col("capital")
+    no_name = (F.col("capital") <= F.col("small")) | noun
+    rows = counts.where(frequent & (mostly_small | (common & no_name)) & ~F.col("words").rlike("[0-9]")).select("words", "n", mostly_small).collect()
     known = Ordinary({r[0]: r[1] for r in rows})
     # A slip made often enough looks like a word: it is far rarer than the word it's next to.
     slips = {w for w, n in known.count.items() if len(w) >= 4 and any(one_slip(w, v) and known.count[v] >= SLIP_RARER * n for v in known.near(w))}

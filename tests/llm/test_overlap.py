@@ -151,3 +151,16 @@ def test_slips_in_rare_words(spark):
     assert {tuple(r) for r in o.pairs().collect()} == {(0, 10), (1, 11), (2, 12), (3, 15), (15, 16), (23, 30)}
     assert o.counts().agg(F.sum("n_pairs")).first()[0] == 6
     assert {r.tenths: r.n_rows for r in o.cover().collect()}[10] >= 6
+
+
+def test_a_name_stays_a_name_at_every_share(spark):
+    """Hansen stands in a third of the questions; German nouns, as frequent, are no names."""
+    name = lambda i: "".join("bdfgk"[i // 5**k % 5] + "aeiou"[i // 5**k % 5] for k in range(3)).capitalize()
+    topics = [f"{i} crews" for i in range(60)]
+    rows = [(i, f"What recall does Hansen report for {t}?", "calibration") for i, t in enumerate(topics)]
+    rows += [(100 + i, f"What yield does {name(i)} report for {t}?", "calibration") for i, t in enumerate(topics)]
+    rows += [(200 + i, f"Welchen Wert nennt {name(60 + i)} unter der Bedingung {t}?", "calibration") for i, t in enumerate(topics)]
+    rows += [(300, "What recall does Hanson report for 1 crews?", "golden"), (301, "what recall does hanson report for 2 crews", "golden"), (302, "WHAT RECALL DOES HANSN REPORT FOR 3 CREWS?", "golden")]
+    rows += [(310, rows[0][1].lower(), "golden"), (311, rows[125][1].replace("Bedingung", "Bedinung"), "golden"), (312, rows[126][1].replace("Bedingung", "Bedignung").lower(), "golden")]
+    got = Overlap(spark.createDataFrame([(i, q, s, None, None, None, None) for i, q, s in rows], SCHEMA)).pairs().collect()
+    assert {tuple(r) for r in got} == {(0, 310), (205, 311), (206, 312)}
