@@ -4,8 +4,9 @@ A text longer than its limit is cut where a dynamic programme over its boundary
 positions finds the least sum of cut penalties and size imbalance, under the
 maximum length and the wanted overlap.  All boundaries of a text take part:
 paragraph ends, headings, lines, sentence ends, clauses, words; inside a stretch
-without white space, places after punctuation and, at a higher price, any place
-that doesn't tear a character from its combining marks.
+without white space, places after punctuation and, at a higher price, a place at
+each 48th of what a piece advances, or the next that doesn't tear a character from its
+combining marks.
 """
 
 from __future__ import annotations
@@ -79,9 +80,15 @@ def boundaries(text: str, limit: int, overlap: int = 0) -> tuple[np.ndarray, np.
             tied = {m.start() for m in _TIED.finditer(text, lo, hi)}
             marks = {m.start() for m in _MARK.finditer(text, lo, hi)}
             step = max(1, fresh // 48)
+            # A place every step, behind tied ones the next free place; a tied one only where a whole piece has no other.
+            due, last = False, lo
             for p in range(lo + 1, hi):
-                if p not in kind and p not in tied and (p in marks or (p - lo) % step == 0):
-                    kind[p] = (p, 5 if p in marks else 6)
+                due = due or (p - lo) % step == 0
+                if p not in kind:
+                    if p in tied and p - last < limit or not (due or p in marks or p in tied):
+                        continue
+                    kind[p] = (p, 5 if p in marks and p not in tied else 6)
+                due, last = False, p
     ends = np.array(sorted(kind), dtype=np.int64)
     starts = np.array([kind[e][0] for e in ends.tolist()], dtype=np.int64)
     kinds = np.array([kind[e][1] for e in ends.tolist()], dtype=np.int64)
@@ -126,6 +133,9 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
             while p < ends[i] and _TIED.match(text, p):
                 p += 1
             begin[i] = p
+    # A cut whose shared stretch would leave the next place out of reach shares none.
+    far = np.concatenate([ends[1:], [hi]])[: len(ends)] - begin > limit
+    begin = np.maximum.accumulate(np.where(far, starts, begin))
     m = len(ends)
     cost = np.full(m + 2, np.inf)  # node 0: the text's beginning; node m+1: its end
     came = np.zeros(m + 2, dtype=np.int64)
@@ -148,9 +158,6 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
         best = int(total.argmin())
         cost[j] = total[best] + extra[j]
         came[j] = first + best
-    if not np.isfinite(cost[m + 1]):  # tied characters longer than the limit: cut them after all
-        step = limit - overlap
-        return [(s, min(s + limit, hi), 6 if s + limit < hi else -1) for s in range(lo, max(lo + 1, hi - overlap), step)]
     path, j = [], m + 1
     while j > 0:
         i = int(came[j])

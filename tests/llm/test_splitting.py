@@ -50,6 +50,20 @@ def test_characters_are_not_torn():
     assert all(text[a] == "e" for a, _, _ in check(text, 21, 5))
 
 
+def test_a_tied_stretch_leaves_the_rest_of_the_text_alone():
+    before, after = "One paragraph stands here. " * 8 + "\n\n", "\n\n" + "Another stands behind it. " * 20
+    for limit, overlap in [(200, 0), (256, 32), (400, 80), (640, 319), (800, 120), (1000, 1)]:
+        text = before + "#" + ("e" + chr(0x301)) * 900 + after  # pairs that begin at odd offsets
+        pieces = check(text, limit, overlap)
+        assert all(text[a] != chr(0x301) for a, _, _ in pieces) and all(text[b] != chr(0x301) for _, b, k in pieces if k >= 0)
+        outside = [k for _, b, k in pieces[:-1] if not len(before) < b < len(text) - len(after)]
+        assert outside and {KINDS[k] for k in outside} <= {"paragraph", "sentence"}
+    text = before + "e" + chr(0x301) * 900 + after  # no free place within a piece: cut the stretch, nothing else
+    pieces = check(text, 200, 50)
+    assert all(text[a] == chr(0x301) or text[a - 1].isspace() or a == 0 for a, _, _ in pieces)
+    assert {KINDS[k] for _, b, k in pieces[:-1] if not len(before) < b < len(text) - len(after)} <= {"paragraph", "sentence"}
+
+
 def test_impossible_overlap_blank_and_short_texts():
     assert split_text("", 10, 2) == [] and split_text(" \n ", 2, 0) == []
     assert split_text(" short ", 10, 20) == [(1, 6, -1)]
