@@ -36,10 +36,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    def __init__(self, words: list[str], bwt: np.ndarray, text_of_row: np.ndarray):
+    def __init__(self, words: list[str], bwt: np.ndarray, text_of_row: np.ndarray, texts: np.ndarray):
         self.words, self.bwt, self.text_of_row = words, bwt, text_of_row
+        self.texts = texts  # the joined texts, to extend a match that was found
+        self.text_ends = np.flatnonzero(texts == SEPARATOR)
         self.number = {w: i + 1 for i, w in enumerate(words)}
         self.n = len(bwt)
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=len(words) + 1))]).tolist()  # rows before those of each symbol
         self._keys: np.ndarray | None = None
 
     @classmethod
@@ -49,7 +52,7 @@ class FMIndex:
         symbols = np.array([s for t in texts for s in (*(number[w] for w in t), SEPARATOR)], dtype=np.int64)
         text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
         order = suffix_array(symbols)
-        return cls(words, symbols[order - 1].astype(np.int32), text[order].astype(np.int32))
+        return cls(words, symbols[order - 1].astype(np.int32), text[order].astype(np.int32), symbols.astype(np.int32))
 
     @property
     def keys(self) -> np.ndarray:
@@ -65,6 +68,20 @@ class FMIndex:
         base = symbol * (self.n + 1)
         return np.searchsorted(self.keys, base + low), np.searchsorted(self.keys, base + high)
 
+    def rows(self, word: str) -> tuple[int, int]:
+        """The interval of rows that begin with ``word``: one backward step from all rows."""
+        symbol = self.number.get(word)
+        return (0, 0) if symbol is None else (self.begins[symbol], self.begins[symbol + 1])
+
+    def count(self, word: str) -> int:
+        low, high = self.rows(word)
+        return high - low
+
+    def text(self, k: int) -> list[str]:
+        """The words of the text number ``k``."""
+        begin = self.text_ends[k - 1] + 1 if k else 0
+        return [self.words[s - 1] for s in self.texts[begin : self.text_ends[k]].tolist()]
+
     def maximal_matches(self, patterns: list[list[str]]) -> tuple[np.ndarray, ...]:
         """Streams patterns through backward search and cuts each into maximal matches, from its end.
 
@@ -106,15 +123,15 @@ class FMIndex:
     def to_bytes(self) -> bytes:
         """Compressed: the transform puts equal words next to each other."""
         head = "\n".join(self.words).encode()
-        parts = [zlib.compress(p, 6) for p in (head, self.bwt.tobytes(), self.text_of_row.tobytes())]
+        parts = [zlib.compress(p, 6) for p in (head, self.bwt.tobytes(), self.text_of_row.tobytes(), self.texts.tobytes())]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> FMIndex:
         parts, at = [], 0
-        for _ in range(3):
+        for _ in range(4):
             size = int.from_bytes(data[at : at + 8], "little")
             parts.append(zlib.decompress(data[at + 8 : at + 8 + size]))
             at += 8 + size
         words = parts[0].decode().split("\n") if parts[0] else []
-        return cls(words, np.frombuffer(parts[1], dtype=np.int32), np.frombuffer(parts[2], dtype=np.int32))
+        return cls(words, np.frombuffer(parts[1], dtype=np.int32), np.frombuffer(parts[2], dtype=np.int32), np.frombuffer(parts[3], dtype=np.int32))

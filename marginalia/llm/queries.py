@@ -29,8 +29,8 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir).counts()
 
 
-def p2_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap(spark, sf_dir).cover()
+def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).spans()
 
 
 def p3_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_subjects(spark, sf_dir).select(F.explode_outer("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_cover": p2_cover, "p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_spans": p2_spans, "p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 _TOP = """
 WITH c AS (SELECT * FROM (

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.llm.fmindex import FMIndex, suffix_array
-from marginalia.llm.overlap import Ordinary, Overlap, canonical, one_slip, read_words
+from marginalia.llm.overlap import FIXED, RARE, Overlap, canonical, merged_spans, one_slip, read_words
 
 import numpy as np
 
@@ -45,9 +45,26 @@ def test_one_slip(a, b, yes):
 def test_reading():
     words, case = read_words("Whаt  does <i>Fogo</i> re­port – in 1999​?")
     assert words == ["what", "does", "fogo", "report", "in", "1999"] and case == [0, 1, 2, 1, 1, 0]
-    ordinary = Ordinary({"what": 9, "report": 9, "does": 9, "shifts": 9, "evening": 9})
-    assert canonical(*read_words("Hi, in evening shifts, what does Fogo reoprt?"), ordinary) == canonical(*read_words("What does the Fogo report in the evening shifts"), ordinary)
-    assert canonical(*read_words("what does fogo report in 1998"), ordinary) != canonical(*read_words("what does fogo report in 1999"), ordinary)
+    facts = {w: (True, False, None, None) for w in ("what", "report", "does", "shifts", "evening", "in", "the", "hi")} | {"reoprt": (False, False, "report", None), "fogo": (False, True, None, None)}
+
+    def canon(q):
+        ws, cs = read_words(q)
+        return canonical(ws, cs, [facts.get(w) for w in ws])
+
+    assert canon("Hi, in evening shifts, what does Fogo reoprt?") == (["evening", "shifts", "what", "fogo", "report"], [FIXED] * 5)
+    assert canon("What does the Fogo report in the evening shifts") == (["what", "fogo", "report", "evening", "shifts"], [FIXED] * 5)
+    assert canon("what does fogo report on marmots in 1998") == (["what", "fogo", "report", "marmots", "1998"], [FIXED, FIXED, FIXED, RARE, FIXED])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcde"), max_size=9))
+def test_merged_spans(a, b):
+    spans, left, right = merged_spans(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in spans)
+    assert sorted([*left, *(i + k for i, _, n in spans for k in range(n))]) == list(range(len(a)))
+    assert sorted([*right, *(j + k for _, j, n in spans for k in range(n))]) == list(range(len(b)))
+    # What stays outside has no counterpart outside.
+    assert not {a[i] for i in left} & {b[j] for j in right}
 
 
 METRICS = ["recall", "yield", "noise level", "growth rate", "sample size", "turnout"]
@@ -114,7 +131,9 @@ def test_pairs_of_noisy_questions(spark):
     assert got == want
     counts = o.counts().agg(F.sum("n_pairs"), F.sum("n_rows"), F.sum("n_overlapping")).first()
     assert counts[0] == len(want) and counts[2] == len({b for _, b in want})
-    assert sum(r.n_rows for r in o.cover().collect()) == sum("alibration" in s for _, _, s in rows)
+    assert sum(r.n_pairs for r in o.spans().collect()) == len(want)
+    # A moved phrase gives another class: it's found by two merged spans, not by equality.
+    assert o.matches.where("class_c <> class_e AND n_spans > 1").count() > 0
 
 
 def test_large_class_in_parts(spark, monkeypatch):
@@ -135,8 +154,13 @@ def test_nulls_blanks_and_empty(spark):
     assert Overlap(labels.limit(0)).pairs().collect() == [] and Overlap(labels.limit(0)).counts().collect() == []
 
 
-def test_slips_in_rare_words(spark):
-    """Each topic word stands in one question only, far too rarely to be ordinary."""
+@pytest.mark.parametrize("others,sent,per_shard", [(8000, 200_000, 20_000), (20, 200_000, 20_000), (300, 0, 20_000), (300, 200_000, 4)])
+def test_slips_in_rare_words(spark, monkeypatch, others, sent, per_shard):
+    """Each topic word stands in one question only, far too rarely to be ordinary; the same at every table size and plan."""
+    import marginalia.llm.overlap as overlap
+
+    monkeypatch.setattr(overlap, "SENT_WORDS", sent)
+    monkeypatch.setattr(overlap, "CLASSES_PER_SHARD", per_shard)
     base = [f"What recall does the Foboloku study report for {w} in small clinics?" for w in ("marmosets", "sturgeon", "gravestone", "zeppelins")]
     rows = [(i, q, "calibration") for i, q in enumerate(base)]
     rows += [(10, base[0].replace("marmosets", "marmsets"), "golden"), (11, base[1].replace("sturgeon", "strugeon"), "golden")]
@@ -145,12 +169,22 @@ def test_slips_in_rare_words(spark):
     # Another name or content word that stands in several questions, in small letters as well.
     rows += [(20 + i, f"How many {w} did the coastal survey count in {p}?", "calibration") for w in ("lamprey", "lampreys") for i, p in enumerate(("rivers", "lakes", "ponds"), 3 * (w == "lampreys"))]
     rows += [(30, "How many lampreys did the coastal survey count in rivers?", "golden"), (31, base[0].replace("Foboloku", "Foboloko").lower(), "golden")]
-    rows += [(100 + i, f"What recall does the Bagadu study report for {i} crews in small clinics?", "calibration") for i in range(8000)]
+    rows += [(100 + i, f"What recall does the Bagadu study report for {i} crews in small clinics?", "calibration") for i in range(others)]
     labels = spark.createDataFrame([(i, q, s, None, None, None, None) for i, q, s in rows], SCHEMA)
     o = Overlap(labels)
     assert {tuple(r) for r in o.pairs().collect()} == {(0, 10), (1, 11), (2, 12), (3, 15), (15, 16), (23, 30)}
     assert o.counts().agg(F.sum("n_pairs")).first()[0] == 6
-    assert {r.tenths: r.n_rows for r in o.cover().collect()}[10] >= 6
+
+
+def test_words_in_any_other_order_are_another_question(spark):
+    """Up to MOST_SPANS runs in common are the same question; a reversed sentence of more words isn't."""
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    texts = [" ".join(words), " ".join([*words[6:], *words[:6]]), " ".join([*words[:2], *words[5:8], *words[2:5], *words[8:]]), " ".join(words[::-1])]
+    rows = [(0, texts[0], "calibration"), *((10 + i, t, "golden") for i, t in enumerate(texts))]
+    rows += [(100 + i, f"{a} {b} number {i}", "calibration") for i, (a, b) in enumerate(zip(words * 4, words[1:] * 4))]
+    o = Overlap(spark.createDataFrame([(i, q, s, None, None, None, None) for i, q, s in rows], SCHEMA))
+    assert {tuple(r) for r in o.pairs().collect()} == {(0, 10), (0, 11), (0, 12)}
+    assert {r.n_spans: r.n_pairs for r in o.spans().collect()} == {1: 1, 2: 1, 4: 1}
 
 
 def test_a_name_stays_a_name_at_every_share(spark):
