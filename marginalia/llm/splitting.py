@@ -3,10 +3,9 @@
 A text longer than its limit is cut where a dynamic programme over its boundary
 positions finds the least sum of cut penalties and size imbalance, under the
 maximum length and the wanted overlap.  All boundaries of a text take part:
-paragraph ends, headings, lines, sentence ends, clauses, words; inside a stretch
-without white space, places after punctuation and, at a higher price, a place at
-each 48th of what a piece advances, or the next that doesn't tear a character from its
-combining marks.
+paragraph ends, headings, lines, sentence ends, clauses, words.  Where they leave no way through, that is in a
+stretch without white space longer than the limit, every place in the stretch takes part
+that doesn't tear a character from its combining marks, after punctuation at a lower price.
 """
 
 from __future__ import annotations
@@ -24,78 +23,157 @@ PENALTY = {"paragraph": 0.0, "sentence": 0.1, "line": 0.35, "clause": 0.5, "word
 KINDS = tuple(PENALTY)
 _PRICE = np.array([PENALTY[k] for k in KINDS])
 
-# A paragraph ends at a blank line (any line ends, blanks in between), before a heading line, or at a paragraph or page mark.
-_BREAK = r"\n\r\x0b\x0c\x85\u2028\u2029"
-_LINE_END = rf"(?:\r\n|[{_BREAK}])"
-_PARAGRAPH = regex.compile(rf"{_LINE_END}[^\S{_BREAK}]*{_LINE_END}\s*|{_LINE_END}(?=#{{1,6}}\s)|[\u2028\u2029\x0c]\s*|\s*¶\s*")
-_LINE = regex.compile(rf"{_LINE_END}\s*")
-_SENTENCE = regex.compile(r"(?<=[.!?…]['\")\]»”’]?)\s+(?=[\"“„«'(\[¿¡\p{Lu}\p{Lt}\p{N}\-*#])|(?<=[。！？])\s*")
+# White space as of str.isspace, and among it what ends a line.
+_SPACES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+_BREAKS = [10, 11, 12, 13, 133, 8232, 8233]
+_IS_SPACE, _IS_BREAK = np.zeros(12290, dtype=bool), np.zeros(12290, dtype=bool)
+_IS_SPACE[_SPACES] = True
+_IS_BREAK[_BREAKS] = True
+_PAGE_MARKS = np.array([12, 8232, 8233], dtype=np.uint32)
+_CLAUSE_ENDS = np.array([ord(c) for c in ",;:–—"], dtype=np.uint32)
+_HEADING = regex.compile(r"#{1,6}\s")
+_SENTENCE = regex.compile(r"(?<=[.!?…]['\")\]»”’]?)\s+(?=[\"“„«'(\[¿¡\p{Lu}\p{Lt}\p{N}\-*#])")
+# Ends of paragraphs and sentences that no white space follows.
+_GLUED = regex.compile(r"(?<=[¶。！？])(?=\S)")
 # Abbreviations whose dot doesn't end a sentence.
 _ABBREVIATION = regex.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Fig|Figs|Eq|Eqs|cf|vs|No|Nr|Abb|bzw|z|B|al|e\.g|i\.e|p|pp|vol|ca|St)|\b\p{Lu})\.$")
-_CLAUSE = regex.compile(r"(?<=[,;:–—])\s+")
-_WORD = regex.compile(r"\s+")
 _MARK = regex.compile(r"(?<=[^\w\s])(?=\w)|(?<=\w)(?=[^\w\s])")
 # Places that can't be cut: before a combining mark, joiner, variation selector or skin tone, and after a joiner.
 _TIED = regex.compile(r"(?=[\p{M}\u200d\ufe00-\ufe0f\U0001f3fb-\U0001f3ff])|(?<=\u200d)|(?<=\r)(?=\n)")
-_RUN = regex.compile(r"\S+")
+PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD, MARK, CHARACTER = range(7)
 
 
-def longest_run(text: str) -> int:
-    """Characters in the longest stretch without white space."""
-    return max((len(w) for w in text.split()), default=0)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def paragraph_starts(text: str) -> np.ndarray:
-    """Positions where paragraphs begin, the first at 0."""
-    return np.unique([0, *(m.end() for m in _PARAGRAPH.finditer(text) if m.end() < len(text))])
+def _among(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(codes, len(table) - 1)]
 
 
-def boundaries(text: str, limit: int, overlap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends, following starts and kinds (index in KINDS) of all boundaries, by position.
+def words_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches without white space."""
+    ink = np.concatenate([[False], ~_among(codes, _IS_SPACE), [False]])
+    edges = np.flatnonzero(ink[1:] != ink[:-1])
+    return edges[::2], edges[1::2]
 
-    The gap between an end and the start that follows it holds white space only.
+
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends, following starts and kinds (index in KINDS) of all natural boundaries, by position.
+
+    The gap between an end and the start that follows it holds white space only.  A paragraph ends at a
+    blank line, before a heading line, at a page or paragraph separator and behind a paragraph mark.
     """
-    kind: dict[int, tuple[int, int]] = {}
-
-    def put(found: Iterator, which: int) -> None:
-        for m in found:
-            a, b = m.span()
-            while a > 0 and text[a - 1].isspace():
-                a -= 1
-            while b < len(text) and text[b].isspace():
-                b += 1
-            if 0 < a and b < len(text) and a not in kind:
-                kind[a] = (b, which)
-
-    put(_PARAGRAPH.finditer(text), 0)
-    put((m for m in _SENTENCE.finditer(text) if not _ABBREVIATION.search(text, max(0, m.start() - 8), m.start())), 1)
-    put(_LINE.finditer(text), 2)
-    put(_CLAUSE.finditer(text), 3)
-    put(_WORD.finditer(text), 4)
-    # Only a stretch that can't be passed within what a piece may advance needs cuts inside it.
-    fresh = max(1, limit - overlap)
-    for run in _RUN.finditer(text):
-        if len(run.group()) > min(fresh, limit) // 2:
-            lo, hi = run.span()
-            tied = {m.start() for m in _TIED.finditer(text, lo, hi)}
-            marks = {m.start() for m in _MARK.finditer(text, lo, hi)}
-            step = max(1, fresh // 48)
-            # A place every step, behind tied ones the next free place; a tied one only where a whole piece has no other.
-            due, last = False, lo
-            for p in range(lo + 1, hi):
-                due = due or (p - lo) % step == 0
-                if p not in kind:
-                    if p in tied and p - last < limit or not (due or p in marks or p in tied):
-                        continue
-                    kind[p] = (p, 5 if p in marks and p not in tied else 6)
-                due, last = False, p
-    ends = np.array(sorted(kind), dtype=np.int64)
-    starts = np.array([kind[e][0] for e in ends.tolist()], dtype=np.int64)
-    kinds = np.array([kind[e][1] for e in ends.tolist()], dtype=np.int64)
-    return ends, starts, kinds
-
-
-def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    codes = _codes(text)
+    word_starts, word_ends = words_of(codes)
+    ends, starts = word_ends[:-1], word_starts[1:]
+    if len(ends):
+        kinds = np.full(len(ends), WORD)
+        kinds[np.isin(codes[ends - 1], _CLAUSE_ENDS)] = CLAUSE
+        breaks = _among(codes, _IS_BREAK)
+        breaks[1:] &= ~((codes[1:] == 10) & (codes[:-1] == 13))  # one line end
+        lines = np.concatenate([[0], np.cumsum(breaks)])
+        n_lines = lines[starts] - lines[ends]
+        kinds[n_lines == 1] = LINE
+        found = [m.start() for m in _SENTENCE.finditer(text) if not _ABBREVIATION.search(text, max(0, m.start() - 8), m.start())]
+        kinds[np.searchsorted(ends, found)] = SENTENCE
+        marks = np.concatenate([[0], np.cumsum(np.isin(codes, _PAGE_MARKS))])
+        heads = np.flatnonzero((codes[starts] == 35) & _among(codes[starts - 1], _IS_BREAK))
+        heads = [k for k in heads.tolist() if _HEADING.match(text, int(starts[k]))]
+        kinds[np.isin(codes[ends - 1], np.array([ord(c) for c in "。！？"], dtype=np.uint32))] = SENTENCE
+        kinds[(n_lines >= 2) | (marks[starts] > marks[ends]) | (codes[ends - 1] == ord("¶"))] = PARAGRAPH
+        kinds[heads] = PARAGRAPH
+    else:
+        kinds = np.zeros(0, dtype=np.int64)
+    glued = [] if text.isascii() else [m.start() for m in _GLUED.finditer(text)]
+    if not glued:
+        return ends, starts, kinds
+    at = np.searchsorted(ends, glued)
+    return np.insert(ends, at, glued), np.insert(starts, at, glued), np.insert(kinds, at, [PARAGRAPH if text[p - 1] == "¶" else SENTENCE for p in glued])
+
+
+def _inside(text: str, lo: int, hi: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places inside the stretch [lo, hi) that tear no character, and their kinds.
+
+    Where tied places follow each other for more than the limit, every ``limit``-th of them as well.
+    """
+    marks = np.array([m.start() for m in _MARK.finditer(text, lo, hi)], dtype=np.int64)
+    free = np.ones(hi - lo, dtype=bool)
+    free[0] = False
+    if not text.isascii():
+        free[[m.start() - lo for m in _TIED.finditer(text, lo, hi) if m.start() < hi]] = False
+    is_mark = np.zeros(hi - lo, dtype=bool)
+    is_mark[marks - lo] = True
+    places = np.flatnonzero(free)
+    around = np.concatenate([[0], places, [hi - lo]])
+    long = np.flatnonzero(np.diff(around) > limit)
+    torn = np.concatenate([np.arange(around[k] + limit, around[k + 1], limit) for k in long.tolist()]) if len(long) else np.zeros(0, dtype=np.int64)
+    places = np.sort(np.concatenate([places, torn]))
+    return places + lo, np.where(is_mark[places] & free[places], MARK, CHARACTER)
+
+
+def _shared(text: str, limit: int, overlap: int, ends: np.ndarray, starts: np.ndarray, kinds: np.ndarray, hi: int) -> np.ndarray:
+    """Where the piece after each cut begins: at the first start of a word at or behind end - overlap, at the latest at the cut itself."""
+    if not overlap or not len(ends):
+        return starts
+    begin, back = starts.copy(), ends - overlap
+    word_starts = starts[kinds <= WORD]
+    at = np.searchsorted(word_starts, back)
+    has = at < len(word_starts)
+    begin[has] = np.minimum(begin[has], word_starts[at[has]])
+    # No word begins in the shared stretch: cut into it, unless that tears a character.
+    for i in np.flatnonzero((begin >= ends) & (kinds > WORD)).tolist():
+        p = max(0, int(back[i]))
+        while p < ends[i] and _TIED.match(text, p):
+            p += 1
+        begin[i] = p
+    # A cut whose shared stretch would leave the next place out of reach shares none.
+    far = np.concatenate([ends[1:], [hi]]) - begin > limit
+    return np.maximum.accumulate(np.where(far, starts, begin))
+
+
+def _least_cost(limit: int, lo: int, hi: int, ends: np.ndarray, begin: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, int]]:
+    """The cheapest pieces over all cuts: each adds its price, the square of the piece's shortfall (half for the last piece), and a quarter."""
+    m = len(ends)
+    node_end, node_begin = np.concatenate([[lo], ends, [hi]]), np.concatenate([[lo], begin, [hi]])
+    extra = [0.25, *(_PRICE[kinds] + 0.25).tolist(), 0.25]
+    share = node_begin / limit
+    # The shortfall is share[i] + q[j]: its square, less q[j] squared, is share[i]^2 + 2 q[j] share[i].
+    double, where = 2.0 * share, (1.0 - node_end / limit).tolist()
+    square = (share * share).tolist()
+    # Beginnings never go back, so the pieces that may end at j come from a window of nodes that only moves forward.
+    lowest = np.searchsorted(node_begin, node_end - limit).tolist()
+    held, room = np.empty(m + 2), np.empty(m + 2)  # held: cost + share^2
+    held[0] = square[0]
+    came = [0] * (m + 2)
+    for j in range(1, m + 2):
+        first, q = lowest[j], where[j]
+        total = room[: j - first]
+        np.multiply(double[first:j], q, total)
+        if j <= m:
+            total += held[first:j]
+            best = int(total.argmin())
+            held[j] = total[best] + q * q + extra[j] + square[j]
+        else:
+            total += square[first:j]
+            total += q * q
+            total *= 0.5
+            total += held[first:j]
+            total -= square[first:j]
+            best = int(total.argmin())
+        came[j] = first + best
+    path, j = [], m + 1
+    while j > 0:
+        i = came[j]
+        path.append((int(node_begin[i]), int(node_end[j]), int(kinds[j - 1]) if j <= m else -1))
+        j = i
+    return path[::-1]
+
+
+Pieces = list[tuple[int, int, int]]
+
+
+def split_text(text: str, limit: int, overlap: int) -> Pieces:
     """Pieces (start, end, index in KINDS of the cut at the end; -1 for the last) of a text.
 
     No piece is longer than ``limit``; outside of the pieces there is white space
@@ -105,65 +183,32 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     the limit is one piece, a blank one none.  An overlap that leaves less than a character to
     advance (``overlap >= limit``) or a negative one counts as 0; a limit below 1 as 1.
     """
+    return split_and_measure(text, limit, overlap)[0]
+
+
+def split_and_measure(text: str, limit: int, overlap: int) -> tuple[Pieces, np.ndarray, int]:
+    """:func:`split_text`, the starts of paragraphs, and the length of the longest stretch without white space."""
     n = len(text)
-    lo = n - len(text.lstrip())
-    hi = len(text.rstrip())
+    lo, hi = n - len(text.lstrip()), len(text.rstrip())
     if lo >= hi:
-        return []
+        return [], np.zeros(1, dtype=np.int64), 0
     limit = max(1, limit)
     overlap = overlap if 0 < overlap < limit else 0
+    ends, starts, kinds = boundaries(text)
+    paragraphs = np.concatenate([[0], starts[kinds == PARAGRAPH]])
+    gap = ends < starts
+    longest = int((np.concatenate([ends[gap], [hi]]) - np.concatenate([[lo], starts[gap]])).max())
     if n <= limit:
-        return [(lo, hi, -1)]
-    ends, starts, kinds = boundaries(text, limit, overlap)
-    inside = (ends > lo) & (ends < hi)
-    ends, starts, kinds = ends[inside], starts[inside], kinds[inside]
-    # Where the piece after a cut begins: the first start of a word at or behind end - overlap, at the latest the cut itself.
-    word = kinds <= 4
-    word_starts = starts[word]
-    back = ends - overlap
-    begin = starts.copy()
-    if overlap and len(ends):
-        at = np.searchsorted(word_starts, back)
-        has = at < len(word_starts)
-        begin[has] = np.minimum(begin[has], word_starts[at[has]])
-        # No word begins in the shared stretch: cut into it, unless that tears a character.
-        none = (begin >= ends) & (kinds > 4)
-        for i in np.flatnonzero(none).tolist():
-            p = max(lo, int(back[i]))
-            while p < ends[i] and _TIED.match(text, p):
-                p += 1
-            begin[i] = p
-    # A cut whose shared stretch would leave the next place out of reach shares none.
-    far = np.concatenate([ends[1:], [hi]])[: len(ends)] - begin > limit
-    begin = np.maximum.accumulate(np.where(far, starts, begin))
-    m = len(ends)
-    cost = np.full(m + 2, np.inf)  # node 0: the text's beginning; node m+1: its end
-    came = np.zeros(m + 2, dtype=np.int64)
-    node_end = np.concatenate([[lo], ends, [hi]])
-    node_begin = np.concatenate([[lo], begin, [hi]])
-    price = np.concatenate([[0.0], _PRICE[kinds], [0.0]])
-    cost[0] = 0.0
-    # The last piece's shortfall counts half. Beginnings never go back, so the pieces that
-    # may end at e come from a window of nodes that only moves forward.
-    first, share, where = 0, node_begin / limit, node_end.tolist()
-    lowest = np.searchsorted(node_begin, node_end - limit).tolist()
-    extra = (price + 0.25).tolist()
-    for j in range(1, m + 2):
-        first = lowest[j]
-        if first >= j:
-            continue
-        total = share[first:j] + (1.0 - where[j] / limit)
-        total *= total if j <= m else 0.5 * total
-        total += cost[first:j]
-        best = int(total.argmin())
-        cost[j] = total[best] + extra[j]
-        came[j] = first + best
-    path, j = [], m + 1
-    while j > 0:
-        i = int(came[j])
-        path.append((int(node_begin[i]), int(node_end[j]), int(kinds[j - 1]) if j <= m else -1))
-        j = i
-    return path[::-1]
+        return [(lo, hi, -1)], paragraphs, longest
+    # Natural boundaries alone leave a way through unless one is out of reach of the next.
+    run_start, run_end = np.concatenate([[lo], starts]), np.concatenate([ends, [hi]])
+    blocked = np.flatnonzero(run_end - run_start > limit).tolist()
+    if blocked:
+        found = [_inside(text, int(run_start[k]), int(run_end[k]), limit) for k in blocked]
+        at = np.repeat(blocked, [len(f[0]) for f in found])
+        places = np.concatenate([f[0] for f in found])
+        ends, starts, kinds = np.insert(ends, at, places), np.insert(starts, at, places), np.insert(kinds, at, np.concatenate([f[1] for f in found]))
+    return _least_cost(limit, lo, hi, ends, _shared(text, limit, overlap, ends, starts, kinds, hi), kinds), paragraphs, longest
 
 
 _PIECES = "character_start int, character_end int, paragraph_start int, chunk_index int, cut string, n_chars int, longest_run int, chunk_size int, chunk_overlap int"
@@ -178,9 +223,7 @@ def _split_batches(key_type: pa.DataType, only_oversized: bool):
         for batch in batches:
             rows: list[tuple] = []
             for key, text, limit, overlap in zip(*(batch[c].to_pylist() for c in ("_key", "_text", "_limit", "_overlap"))):
-                pieces = split_text(text, limit, overlap or 0)
-                paragraphs = paragraph_starts(text)
-                run_length = longest_run(text)
+                pieces, paragraphs, run_length = split_and_measure(text, limit, overlap or 0)
                 if not pieces and only_oversized:
                     rows.append((key, None, None, None, None, None, len(text), run_length, limit, overlap))
                 for i, (a, b, kind) in enumerate(pieces):

@@ -1,10 +1,11 @@
 import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.llm.splitting import KINDS, longest_run, paragraph_starts, split_oversized, split_text
+from marginalia.llm.splitting import KINDS, PENALTY, _shared, boundaries, split_and_measure, split_oversized, split_text
 
 ALPHABET = st.sampled_from([*"abc .,;!?\n\r\t-#", chr(0x1F468), chr(0x200D), chr(0x301), chr(0xA0), chr(0x2029), "word ", "End. New ", "\n\n"])
 
@@ -58,12 +59,45 @@ def test_a_tied_stretch_leaves_the_rest_of_the_text_alone():
         assert all(text[a] != chr(0x301) for a, _, _ in pieces) and all(text[b] != chr(0x301) for _, b, k in pieces if k >= 0)
         outside = [k for _, b, k in pieces[:-1] if not len(before) < b < len(text) - len(after)]
         assert outside and {KINDS[k] for k in outside} <= {"paragraph", "sentence"}
+    sentences = "A plain sentence stands right here. " * 40
+    text = sentences + "x" + ("e" + chr(0x301)) * 3000 + " " + sentences
+    pieces = check(text, 1000, 100)
+    assert all(text[a] != chr(0x301) for a, _, _ in pieces)
+    assert {KINDS[k] for _, b, k in pieces[:-1] if not len(sentences) - 1 < b < len(text) - len(sentences)} == {"sentence"}
     text = before + "e" + chr(0x301) * 900 + after  # no free place within a piece: cut the stretch, nothing else
     pieces = check(text, 200, 50)
     assert all(text[a] == chr(0x301) or text[a - 1].isspace() or a == 0 for a, _, _ in pieces)
     assert {KINDS[k] for _, b, k in pieces[:-1] if not len(before) < b < len(text) - len(after)} <= {"paragraph", "sentence"}
 
 
+def brute(text, limit, overlap):
+    """The least cost of any pieces, over all pairs of nodes, and that of the pieces given."""
+    price = {k: PENALTY[KINDS[k]] for k in range(len(KINDS))}
+
+    def cost(pieces):
+        return sum(((price[k] if k >= 0 else 0.0) + 0.25) + (1 - (b - a) / limit) ** 2 * (1.0 if k >= 0 else 0.5) for a, b, k in pieces)
+
+    ends, starts, kinds = boundaries(text)
+    lo, hi = len(text) - len(text.lstrip()), len(text.rstrip())
+    if (np.concatenate([ends, [hi]]) - np.concatenate([[lo], starts])).max() > limit:
+        return None
+    begin = _shared(text, limit, overlap, ends, starts, kinds, hi)
+    nodes = [(lo, lo, -1), *zip(begin.tolist(), ends.tolist(), kinds.tolist()), (hi, hi, -1)]
+    best = [0.0] + [float("inf")] * (len(nodes) - 1)
+    for j in range(1, len(nodes)):
+        for i in range(j):
+            if nodes[j][1] - nodes[i][0] <= limit:
+                best[j] = min(best[j], best[i] + cost([(nodes[i][0], nodes[j][1], nodes[j][2])]))
+    return best[-1], cost(split_text(text, limit, overlap))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "a ", "End. ", "New, ", "\n\n", "longerword "]), min_size=1, max_size=50).map("".join), st.integers(12, 60), st.integers(0, 11))
+def test_least_cost_of_all_pieces(text, limit, overlap):
+    found = brute(text, limit, overlap) if text.strip() and len(text) > limit else None
+    assert found is None or abs(found[0] - found[1]) < 1e-9
+
+
 def test_impossible_overlap_blank_and_short_texts():
     assert split_text("", 10, 2) == [] and split_text(" \n ", 2, 0) == []
     assert split_text(" short ", 10, 20) == [(1, 6, -1)]
@@ -78,8 +112,9 @@ def test_very_long_texts_take_seconds():
 
 
 def test_paragraph_numbers_and_runs():
-    assert paragraph_starts("a\r\n\r\nb\n# c\nd").tolist() == [0, 5, 7]
-    assert longest_run("ab cde" + chr(0x3000) + "f") == 3
+    assert split_and_measure("a\r\n\r\nb\n# c\nd", 50, 0)[1].tolist() == [0, 5, 7]
+    assert split_and_measure("ab cde" + chr(0x3000) + "f", 50, 0)[2] == 3
+    assert split_and_measure("ab。cde¶f", 50, 0)[1].tolist() == [0, 7]
 
 
 def test_table(spark):
