@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.topn import top_n, write_clustered
+from marginalia.llm.topn import Clustered, top_n, write_clustered
 from marginalia.runtime import Scratch, hot_keys, join_with_hot
 
 
@@ -13,8 +13,8 @@ def _finite(c):
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c + F.lit(0.0))  # + 0.0: no negative zero
 
 
-def best_citations(citations: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
-    """(``source``, ``rank``, ``citation_id``, ``reranker_score``, ``rrf_score``) of the N best citations of each stored source.
+def lay_out_citations(citations: DataFrame, chunks: DataFrame) -> Clustered:
+    """The rankable citations clustered by stored source.
 
     Of rows with the same citation id, and of chunks with the same chunk id, the
     one loaded last counts (null ``loaded_at`` is earliest; among equals the one
@@ -41,6 +41,11 @@ def best_citations(citations: DataFrame, chunks: DataFrame, n: int = 5) -> DataF
     )
     hot = hot_keys(citations.select("chunk_id"), "chunk_id", 200)
     items = join_with_hot(latest, stored, "chunk_id", hot).select("_group", "_score", "_second", F.col("citation_id").alias("_id"))
-    return top_n(write_clustered(items, scratch, "citations"), n).select(
+    return write_clustered(items, scratch, "citations")
+
+
+def best_citations(citations: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """(``source``, ``rank``, ``citation_id``, ``reranker_score``, ``rrf_score``) of the N best citations of each stored source, by the rules of :func:`lay_out_citations`."""
+    return top_n(lay_out_citations(citations, chunks), n).select(
         F.col("_group").alias("source"), "rank", F.col("_id").alias("citation_id"), F.col("_score").alias("reranker_score"), F.col("_second").alias("rrf_score")
     )

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import token_count, token_ids
-from marginalia.llm.citations_top import best_citations
+from marginalia.llm.citations_top import best_citations, lay_out_citations
 from marginalia.llm.overlap import Overlap
 from marginalia.llm.packing import fill_containers
 from marginalia.llm.splits import assign_splits, path_key, related_groups, text_key
 from marginalia.llm.splitting import split_oversized
 from marginalia.llm.subjects import fit, subjects_of
+from marginalia.llm.topn import skipped
 from marginalia.plans.tables import table
 
 CAPACITY = 2048
@@ -41,6 +42,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_topn(spark, sf_dir).select("source", "citation_id")
 
 
+def p3_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups and rows that the five best of every source are found without."""
+    return skipped(lay_out_citations(table(spark, sf_dir, "citations"), table(spark, sf_dir, "sync_chunks")), 5)
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "sync_pages"), table(spark, sf_dir, "index_config"))
 
@@ -100,7 +106,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_subjects(spark, sf_dir).select(F.explode_outer("subjects").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_spans": p2_spans, "p3_topn": p3_topn, "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_spans": p2_spans, "p3_topn": p3_topn, "p3_found": p3_found, "p3_skips": p3_skips, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 _TOP = """
 WITH c AS (SELECT * FROM (

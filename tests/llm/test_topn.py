@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from marginalia.llm.citations_top import best_citations
-from marginalia.llm.topn import plan_row_groups, top_n, write_clustered, _footers, _FOOTER_SQL
+from marginalia.llm.topn import skipped, top_n, write_clustered
 from marginalia.runtime import Scratch
 
 
@@ -22,22 +22,32 @@ def items(seed, hot):
     return rows
 
 
+ITEMS = "_group string, _score double, _second double, _id bigint"
+
+
 def test_equals_brute_force_and_skips(spark):
     rows = items(1, 6000)
-    df = spark.createDataFrame(rows, "_group string, _score double, _second double, _id bigint")
-    laid = write_clustered(df, Scratch(spark, "test"), "t", rows_per_file=1500, row_group_bytes=4096)
+    laid = write_clustered(spark.createDataFrame(rows, ITEMS), Scratch(spark, "test"), "t", rows_per_file=1500, rows_per_row_group=100)
+    for n in (1, 3, 5, 16, 40):
+        assert {(r._group, r.rank, r._id) for r in top_n(laid, n).collect()} == brute(rows, n)
+    r = skipped(laid, 5).first()
+    assert r.n_rows == len(rows) and 0 < r.n_skipped < r.n_row_groups and r.n_rows_skipped > 4000
+
+
+def test_row_groups_of_several_groups_are_skipped(spark):
+    """Groups of 60 rows: their leading 16 stand together, and the other 44 are left out, many groups a row group."""
+    rows = [(f"g{i % 50:02}", float(i * 7919 % 3000), 0.0, i) for i in range(3000)]
+    laid = write_clustered(spark.createDataFrame(rows, ITEMS), Scratch(spark, "test"), "t", rows_per_file=3000, rows_per_row_group=200)
+    r = skipped(laid, 5).first()
+    assert r.n_rows_skipped > 2000  # of 2200; a group cut between two files keeps leading items in both
     assert {(r._group, r.rank, r._id) for r in top_n(laid, 5).collect()} == brute(rows, 5)
-    files = spark.createDataFrame([(f,) for f in laid.inputFiles()], "path string")
-    plan = plan_row_groups(files.mapInArrow(_footers, _FOOTER_SQL), 5)
-    total, skipped = plan.agg(F.count(F.lit(1)), F.count(F.when(F.col("skip"), 1))).first()
-    assert skipped > 0 and total > skipped
 
 
 def test_ties_on_the_boundary_are_not_skipped(spark):
     rows = [("a", 1.0, float(i % 3), i) for i in range(4000)]
-    df = spark.createDataFrame(rows, "_group string, _score double, _second double, _id bigint")
-    laid = write_clustered(df, Scratch(spark, "test"), "t", rows_per_file=500, row_group_bytes=2048)
+    laid = write_clustered(spark.createDataFrame(rows, ITEMS), Scratch(spark, "test"), "t", rows_per_file=500, rows_per_row_group=64)
     assert {(r._group, r.rank, r._id) for r in top_n(laid, 4).collect()} == brute(rows, 4)
+    assert top_n(write_clustered(spark.createDataFrame([], ITEMS), Scratch(spark, "test"), "e"), 4).collect() == []
 
 
 CITATIONS = "citation_id bigint, chunk_id string, scores map<string,double>, loaded_at timestamp, source string, _group string"
