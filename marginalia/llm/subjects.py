@@ -4,14 +4,14 @@
    references are no sentences.  The title and source of a document are not read.
 2. Terms.  Words carry a log-lift for each subject: how much more often a sentence with the
    word is about the subject than any sentence.  Lifts come first from the labelled
-   examples, then from the counts of all words over all sentences of the whole corpus, each
-   sentence weighted by what the first lifts say about the rest of its document and by the
-   folder its source lies in.  A word that
+   examples, then from the counts of words over all sentences of the whole corpus, each
+   sentence weighted by what the first lifts say about the rest of its document.  A word that
    turns up in documents of every subject, as in a figure of speech, so has no lift.
    (Word pairs were tried and left out: on held-out examples they added nothing.)
-3. Chain.  Each subject, the more frequent first, has a logistic model over the share of
-   sentences about it, structure (sentences, list items, undecided sentences) and the
-   subjects already decided before it in the chain; shares of the examples are cross-fitted and the
+3. Chain.  Each subject, the more frequent first, has a logistic model over terms (lift of the subject's terms a
+   sentence, different terms), structure (share of sentences about it and its distance from a cut learnt from the
+   examples, sentences, list items, undecided sentences) and the
+   subjects already decided before it in the chain; features of the examples are cross-fitted and the
    probabilities calibrated on the same held-out folds.
 4. Decoding.  A beam search over the chain finds the most probable combination of subjects.
 """
@@ -44,7 +44,8 @@ LEAST_KNOWN = 0.15  # share of decided sentences from which a document teaches i
 BEAM = 8
 
 # Words that head a list of references, and abbreviations whose dot ends no sentence.
-_REFERENCES = re.compile(r"(?:^|\n)[ \t#*\d.]*(?:references|bibliography|works cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía)[ \t]*:?[ \t]*\n.*", re.S)
+_REFERENCES = re.compile(r"(?:^|\n)[ \t#*\d.]*(?:references|bibliography|works cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía)[ \t]*:?[ \t]*\n")
+_ENTRY = re.compile(r"\s*(?:\[[^\]\n]{1,12}\]|\d{1,3}[.)]\s|[-*•]\s)|.*\b(?:1[6-9]|20)\d\d[a-z]?\b|.*\bdoi\b")
 _REFERENCE_STEMS = ("referen", "référen", "bibliogra", "literatur", "works cited")
 _ABBREVIATIONS = frozenset("e g i cf eq eqs dr mr mrs ms prof al z b vol fig figs abb no nr pp vs bzw".split())
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|[.!?](?=[\s\"'”’)\]]|$)|\n\s*\n|\n(?=\s*(?:[-*#•]\s|\d+\.\s))")
@@ -61,7 +62,28 @@ def prepare(text: str) -> str:
         t = t.replace("\r\n", "\n").replace("\r", "\n")
     if "-\n" in t:
         t = _HYPHEN.sub("", t)
-    return _REFERENCES.sub("", t) if any(w in t for w in _REFERENCE_STEMS) else t
+    return without_references(t) if any(w in t for w in _REFERENCE_STEMS) else t
+
+
+def without_references(t: str) -> str:
+    """The text without lists of references: such a heading, and the paragraphs behind it whose first two lines look like entries."""
+    kept, at = [], 0
+    for head in _REFERENCES.finditer(t):
+        if head.start() < at:
+            continue
+        kept.append(t[at : head.start()])
+        at = head.end()
+        while at < len(t):
+            end = t.find("\n\n", at)
+            end = len(t) if end < 0 else end + 2
+            paragraph = t[at:end]
+            lines = paragraph.strip().split("\n", 2)[:2]
+            if lines[0].startswith("#") or (paragraph.strip() and not any(_ENTRY.match(x) for x in lines)):
+                kept.append("\n\n")
+                break
+            at = end
+    kept.append(t[at:])
+    return "".join(kept)
 
 
 class Words(dict):
@@ -171,12 +193,38 @@ def about(scores: np.ndarray) -> np.ndarray:
     return np.where(scores[np.arange(len(scores)), best] >= ABOUT, best, -1)
 
 
-def shares(s: Sentences, subject: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Share of sentences about each subject (documents x subjects), and the number of sentences."""
+@dataclass
+class Evidence:
+    """What the chain sees of each document; the first three have a column for each subject."""
+
+    share: np.ndarray  # of its sentences
+    lift: np.ndarray  # mean of the positive summed lifts of its sentences
+    terms: np.ndarray  # different terms that speak for the subject, as a logarithm
+    n: np.ndarray  # sentences
+    listed: np.ndarray  # share of list lines
+
+    def rows(self, pick: np.ndarray | slice) -> Evidence:
+        return Evidence(*(v[pick] for v in (self.share, self.lift, self.terms, self.n, self.listed)))
+
+    def repeated(self, times: int) -> Evidence:
+        return Evidence(*(np.repeat(v, times, 0) for v in (self.share, self.lift, self.terms, self.n, self.listed)))
+
+
+def evidence(s: Sentences, t: TermTable) -> Evidence:
+    scores, k = sentence_scores(s, t), t.lift.shape[1]
+    subject = about(scores)
     n = np.bincount(s.document, minlength=s.n_documents)
     hit = subject >= 0
     flat = np.bincount(s.document[hit] * k + subject[hit], minlength=s.n_documents * k).reshape(s.n_documents, k)
-    return flat / np.maximum(n, 1)[:, None], n
+    many = np.maximum(n, 1)[:, None]
+    lift = np.stack([np.bincount(s.document, weights=np.maximum(scores[:, j], 0.0), minlength=s.n_documents) for j in range(k)], axis=1) if len(scores) else np.zeros((s.n_documents, k))
+    best = np.append(np.where(t.lift.max(axis=1) > 0, t.lift.argmax(axis=1), -1), -1)
+    word = np.minimum(s.word, len(t.lift))
+    of = best[word] >= 0
+    once = np.unique(s.document[s.sentence[of]] * (len(t.lift) + 1) + word[of])
+    document, word = once // (len(t.lift) + 1), once % (len(t.lift) + 1)
+    terms = np.bincount(document * k + best[word], minlength=s.n_documents * k).reshape(s.n_documents, k)
+    return Evidence(flat / many, lift / many, np.log1p(terms), n, s.listed)
 
 
 def lifts(by_subject: np.ndarray, total: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -210,13 +258,19 @@ def _table(words: list[str], counts: np.ndarray, prior: np.ndarray) -> TermTable
 # --- the chain -------------------------------------------------------------------------------
 
 
-def _design(share: np.ndarray, n: np.ndarray, listed: np.ndarray, k: int, decided: np.ndarray) -> np.ndarray:
-    """Features of subject k: shared ones first, then which subjects were decided before it."""
-    own = share[:, k]
-    rest = np.delete(share, k, axis=1).max(axis=1)
-    none = 1.0 - share.sum(axis=1)
-    edge = np.clip((own - 0.2) * np.sqrt(np.maximum(n, 1)), -4, 4)
-    return np.column_stack([np.ones(len(own)), own, np.clip(own - 0.2, -0.1, 0.1) * 10, edge, rest, none, np.log1p(n), listed, decided])
+GROUPS = {"share": (1, 2, 3), "terms": (4, 5, 6), "structure": (7, 8, 9, 10)}  # columns of a design; the rest is the chain
+
+
+def _design(e: Evidence, k: int, decided: np.ndarray, cut: float, left_out: tuple[str, ...] = ()) -> np.ndarray:
+    """Features of subject k: shared ones first, then which subjects were decided before it. ``left_out`` names groups that are set to 0."""
+    own = e.share[:, k]
+    edge = np.clip((own - cut) * np.sqrt(np.maximum(e.n, 1)), -4, 4)
+    others = np.delete(e.lift, k, axis=1).max(axis=1)
+    rest = np.delete(e.share, k, axis=1).max(axis=1)
+    x = np.column_stack([np.ones(len(own)), own, np.clip(own - cut, -0.1, 0.1) * 10, edge, e.lift[:, k], others, e.terms[:, k], rest, 1.0 - e.share.sum(axis=1), np.log1p(e.n), e.listed, decided])
+    for group in left_out:
+        x[:, list(GROUPS[group]) if group in GROUPS else slice(11, None)] = 0.0
+    return x
 
 
 @dataclass
@@ -226,21 +280,23 @@ class Chain:
     order: list[int]
     weights: list[np.ndarray]
     calibration: list[tuple[float, float]]
+    cut: float
     beam: int = BEAM
+    left_out: tuple[str, ...] = ()
 
     def probability(self, at: int, x: np.ndarray) -> np.ndarray:
         a, b = self.calibration[at]
         return 1.0 / (1.0 + np.exp(-np.clip(a * (x @ self.weights[at]) + b, -30, 30)))
 
-    def decode(self, share: np.ndarray, n: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    def decode(self, e: Evidence) -> np.ndarray:
         """The most probable combination for each document (documents x subjects), by beam search."""
-        docs, k = share.shape
+        docs, k = e.share.shape
         labels = np.zeros((docs, 1, k))
         score = np.zeros((docs, 1))
         for at, subject in enumerate(self.order):
             width = labels.shape[1]
             flat = labels.reshape(docs * width, k)
-            x = _design(np.repeat(share, width, 0), np.repeat(n, width), np.repeat(listed, width), subject, flat)
+            x = _design(e.repeated(width), subject, flat, self.cut, self.left_out)
             p = np.clip(self.probability(at, x).reshape(docs, width), 1e-9, 1 - 1e-9)
             yes = labels.copy()
             yes[:, :, subject] = 1.0
@@ -249,7 +305,7 @@ class Chain:
             best = np.argsort(-total, axis=1, kind="stable")[:, : self.beam]
             labels = np.take_along_axis(both, best[:, :, None], axis=1)
             score = np.take_along_axis(total, best, axis=1)
-        return labels[:, 0, :] * (n > 0)[:, None]
+        return labels[:, 0, :] * (e.n > 0)[:, None]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, start: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
@@ -272,22 +328,31 @@ def folds(n: int, parts: int = 5) -> np.ndarray:
     return np.random.default_rng(7).permutation(n) % parts
 
 
-def fit_chain(share: np.ndarray, n: np.ndarray, listed: np.ndarray, truth: np.ndarray) -> Chain:
-    """``share`` must come from lifts that didn't see the rows' own labels."""
+def learnt_cut(e: Evidence, truth: np.ndarray) -> float:
+    """The share of sentences from which a subject is more likely than not, all subjects together: where a logistic model over the log-odds of the share turns."""
+    hits, n = e.share * e.n[:, None], e.n[:, None]
+    odds = np.log((hits + 0.5) / (n - hits + 0.5)).ravel()
+    shift, slope = _logistic(np.column_stack([np.ones(len(odds)), odds]), truth.ravel(), np.array([1e-3, 1e-3]))
+    return float(1.0 / (1.0 + np.exp(np.clip(shift / slope, -5, 5)))) if slope > 0 else 0.5
+
+
+def fit_chain(e: Evidence, truth: np.ndarray, left_out: tuple[str, ...] = ()) -> Chain:
+    """``e`` must come from lifts that didn't see the rows' own labels."""
     k = truth.shape[1]
     order = sorted(range(k), key=lambda j: (-truth[:, j].sum(), j))
+    cut = learnt_cut(e, truth)
     xs, ys = [], []
     for at, j in enumerate(order):
         decided = np.zeros_like(truth)
         decided[:, order[:at]] = truth[:, order[:at]]
-        xs.append(_design(share, n, listed, j, decided))
+        xs.append(_design(e, j, decided, cut, left_out))
         ys.append(truth[:, j])
     shared = xs[0].shape[1] - k
     # All subjects together give the start of the shared weights; each then departs from it as its own rows ask.
     penalty = np.concatenate([np.full(shared, 0.05), np.full(k, 4.0)])
     together = _logistic(np.concatenate(xs), np.concatenate(ys), penalty)
     own = np.concatenate([np.full(shared, 6.0), np.full(k, 4.0)])
-    fold = folds(len(share))
+    fold = folds(len(truth))
     weights, calibration = [], []
     for x, y in zip(xs, ys):
         held = np.zeros(len(y))
@@ -296,7 +361,7 @@ def fit_chain(share: np.ndarray, n: np.ndarray, listed: np.ndarray, truth: np.nd
         a, b = _logistic(np.column_stack([held, np.ones(len(held))]), y, np.array([5.0, 5.0]), np.array([1.0, 0.0]))
         weights.append(_logistic(x, y, own, together))
         calibration.append((float(max(a, 0.1)), float(b)))
-    return Chain(order, weights, calibration)
+    return Chain(order, weights, calibration, cut, left_out=left_out)
 
 
 # --- fitting and applying ----------------------------------------------------------------------
@@ -313,8 +378,7 @@ class Model:
             return [[] for _ in texts]
         words, short = self.terms.vocabulary()
         s = read_sentences(texts, words, short)
-        share, n = shares(s, about(sentence_scores(s, self.terms)), len(self.subjects))
-        return [[self.subjects[j] for j in np.flatnonzero(row)] for row in self.chain.decode(share, n, s.listed)]
+        return [[self.subjects[j] for j in np.flatnonzero(row)] for row in self.chain.decode(evidence(s, self.terms))]
 
 
 def example_weights(s: Sentences, n_words: int, words: list[str], truth: np.ndarray, prior: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, TermTable]:
@@ -336,13 +400,11 @@ def example_weights(s: Sentences, n_words: int, words: list[str], truth: np.ndar
     return weight, table
 
 
-def corpus_weights(s: Sentences, table: TermTable, k: int, folder: np.ndarray | None = None) -> np.ndarray:
+def corpus_weights(s: Sentences, table: TermTable, k: int) -> np.ndarray:
     """What each sentence of unlabelled documents counts for each subject; rows sum to 1, or to 0 where nothing is known.
 
     A sentence counts for what the *other* sentences of its document are about, never for its own decision, or a word that was
-    wrongly learnt would confirm itself.  ``folder`` (a subject or -1 for each document) is the subject whose
-    name the document's source folder bears: a hint for the corpus statistics where the other sentences tell too little.
-    It is no feature of the document itself, whose subjects follow from its sentences alone.
+    wrongly learnt would confirm itself.
     """
     subject = about(sentence_scores(s, table))
     n_sentences = np.bincount(s.document, minlength=s.n_documents)
@@ -352,12 +414,7 @@ def corpus_weights(s: Sentences, table: TermTable, k: int, folder: np.ndarray |
     others[np.flatnonzero(hit), subject[hit]] -= 1.0
     known = others.sum(axis=1)
     told = known >= np.maximum(1.0, LEAST_KNOWN * n_sentences[s.document])
-    weight = np.where(told[:, None], others / np.maximum(known, 1.0)[:, None], 0.0)
-    if folder is not None and len(weight):
-        named = folder[s.document]
-        hinted = np.flatnonzero(~told & (named >= 0))
-        weight[hinted, named[hinted]] = 1.0
-    return weight
+    return np.where(told[:, None], others / np.maximum(known, 1.0)[:, None], 0.0)
 
 
 _FLUSH = 400_000  # words a task gathers before it hands its counts on
@@ -373,14 +430,7 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]
         yield texts.slice(a, b - a).to_pylist()
 
 
-def _folders(sources: list[str | None], subjects: list[str]) -> np.ndarray:
-    """The subject that the first folder of each source is named after; -1 if none."""
-    place = {name: i for i, name in enumerate(subjects)}
-    return np.array([place.get((x or "").lstrip("./ ").split("/", 1)[0].strip().lower(), -1) for x in sources], dtype=np.int64)
-
-
-def _count_batches(sent: object, subjects: list[str]):
-    k = len(subjects)
+def _count_batches(sent: object, k: int):
     names = ["word", *(f"c{j}" for j in range(k + 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,11 +443,9 @@ def _count_batches(sent: object, subjects: list[str]):
             return pa.RecordBatch.from_arrays([pa.array(word, pa.string())] + [pa.array(np.append(sentences if j == k else 0.0, total[used, j])) for j in range(k + 1)], names)
 
         for batch in batches:
-            at, folder = 0, _folders(batch.column(1).to_pylist(), subjects)
             for texts in _slices(batch.column(0)):
                 s = read_sentences(texts, words, np.zeros(0, bool))
-                weight = corpus_weights(s, table, k, folder[at : at + len(texts)])
-                at += len(texts)
+                weight = corpus_weights(s, table, k)
                 counts = count_words(s, weight, len(words.list) + _RESERVED)
                 counts[: len(total)] += total
                 total, sentences = counts, sentences + float((weight.sum(axis=1) > 0).sum())
@@ -410,31 +458,32 @@ def _count_batches(sent: object, subjects: list[str]):
     return run
 
 
-def corpus_counts(documents: DataFrame, text: str, source: str | None, table: TermTable, subjects: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words of the whole corpus that lean to one subject, with their counts.
+def corpus_counts(documents: DataFrame, text: str, table: TermTable, k: int, examples: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words of the whole corpus with their counts: those of the examples, and others that lean to one subject.
 
-    All sentences of all documents are counted; tasks hand on one row a word.  Only
-    words in more than LEAST_PART of the sentences come to the driver, so at most
-    (words a sentence) / LEAST_PART of them whatever the size of the corpus.
+    All sentences of all documents are counted; tasks hand on one row a word.  Of words that no example holds only those
+    in more than LEAST_PART of the sentences come to the driver, so at most
+    (words a sentence) / LEAST_PART of them whatever the size of the corpus; the examples' are bounded by MOST_EXAMPLES.
     """
     spark = documents.sparkSession
-    names = [f"c{j}" for j in range(len(subjects) + 1)]
-    told = documents.select(F.col(text).alias("text"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"))
-    counted = told.mapInArrow(_count_batches(spark.sparkContext.broadcast(table), subjects), "word string, " + ", ".join(f"{c} double" for c in names))
+    names = [f"c{j}" for j in range(k + 1)]
+    counted = documents.select(F.col(text).alias("text")).mapInArrow(_count_batches(spark.sparkContext.broadcast(table), k), "word string, " + ", ".join(f"{c} double" for c in names))
     by_word = Scratch(spark, "subjects").write(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "words")
     every = by_word.where(F.col("word") == _ALL).select(names[-1]).first()
     least = max(LEAST_SENTENCES, LEAST_PART * (every[0] if every else 0.0))
     lean = F.greatest(*(F.col(c) for c in names[:-1])) >= (PURE - 0.2) * F.col(names[-1])
-    kept = by_word.where((F.col("word") != _ALL) & (F.col(names[-1]) >= least) & lean).orderBy("word").toPandas()
+    known = spark.createDataFrame([(w, True) for w in examples], "word string, known boolean")
+    marked = by_word.where(F.col("word") != _ALL).join(known, "word", "left")
+    kept = marked.where(F.coalesce("known", F.lit(False)) | ((F.col(names[-1]) >= least) & lean)).drop("known").orderBy("word").toPandas()
     return kept["word"].tolist(), kept[names].to_numpy(dtype=float)
 
 
-def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text: str = "text", labels: str = "subjects", source: str | None = "source") -> Model:
+def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text: str = "text", labels: str = "subjects", left_out: tuple[str, ...] = ()) -> Model:
     """The model of all steps but decoding.
 
     ``examples`` are labelled rows, at most MOST_EXAMPLES (more raise an error); rows with null text or
-    labels and labels that are no subject don't count.  ``documents`` is the whole corpus; a column ``source``, if there, gives a
-    hint by its folders (see :func:`corpus_weights`).
+    labels and labels that are no subject don't count.  ``documents`` is the whole corpus.  ``left_out`` names groups of
+    features to do without (of GROUPS, or "chain"), to measure what they add.
     """
     names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().collect())
     k = len(names)
@@ -449,26 +498,26 @@ def fit(examples: DataFrame, documents: DataFrame, subjects: DataFrame, *, text:
     words = Words(grow=True)
     s = read_sentences([r[0] for r in rows], words, np.zeros(0, bool))
     weight, first = example_weights(s, len(words.list) + _RESERVED, list(words.list), truth, prior)
-    corpus_words, counts = corpus_counts(documents, text, source if source in documents.columns else None, first, names)
+    corpus_words, counts = corpus_counts(documents, text, first, k, list(words.list))
     for w in corpus_words:
         if w not in words:
             words._add(w)
     n_words = len(words.list) + _RESERVED
     corpus = np.zeros((n_words, k + 1))
     corpus[[words[w] for w in corpus_words]] = counts
-    # The chain learns from shares that don't know a row's own label: lifts without the row's part of the examples.
+    # The chain learns from features that don't know a row's own label: lifts without the row's part of the examples.
     part = folds(len(rows))
-    share, n = np.zeros((len(rows), k)), np.bincount(s.document, minlength=len(rows))
+    found = evidence(s, first)
     for f in np.unique(part):
         others = weight * (part[s.document] != f)[:, None]
-        table = _table(words.list, corpus + count_words(s, others, n_words), prior)
-        found, _ = shares(s, about(sentence_scores(s, table)), k)
-        share[part == f] = found[part == f]
+        held = evidence(s, _table(words.list, corpus + count_words(s, others, n_words), prior))
+        for mine, its in ((found.share, held.share), (found.lift, held.lift), (found.terms, held.terms)):
+            mine[part == f] = its[part == f]
     table = _table(words.list, corpus + count_words(s, weight, n_words), prior)
     useful = np.abs(table.lift).max(axis=1) > 0
     kept = np.flatnonzero(useful[_RESERVED:])
     lean = TermTable([words.list[i] for i in kept.tolist()], np.concatenate([table.lift[:_RESERVED], table.lift[_RESERVED + kept]]))
-    return Model(names, lean, fit_chain(share, n, s.listed, truth))
+    return Model(names, lean, fit_chain(found, truth, left_out))
 
 
 def subjects_of(documents: DataFrame, model: Model, *, text: str = "text", out: str = "subjects") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm.subjects import Chain, Words, fit, folds, prepare, read_sentences, short_words, subjects_of
+from marginalia.llm.subjects import Chain, Evidence, Words, fit, folds, learnt_cut, prepare, read_sentences, short_words, subjects_of
 
 TOPICS = {
     "law": ["legal precedents", "plea agreements", "jury verdicts", "bail conditions", "tenancy contracts", "custody hearings"],
@@ -46,12 +46,27 @@ def test_sentences_headings_lists_and_references():
     assert short_words(w)[w["dr"]] and not short_words(w)[w["smith"]]
 
 
+def test_text_behind_a_list_of_references_stays():
+    text = "Some text here.\n## References\n[1] Derval, T. (2013). Notes.\nand more of it\n\n[2] Givin, N. (1998). Notes.\n\n## Appendix\nFurther measurements follow here.\n"
+    assert prepare(text).split() == "some text here. ## appendix further measurements follow here.".split()
+    assert prepare("Literatur\nDerval (2013), Notizen.\n\nAuch diese Seite hat noch Text.").split() == "auch diese seite hat noch text.".split()
+    assert prepare("a\nReferences\n1. Old papers\n2. Older papers").split() == ["a"]
+
+
+def test_the_cut_is_learnt():
+    rng = np.random.default_rng(1)
+    share = rng.random((500, 3)).round(1)
+    for true in (0.25, 0.55):
+        e = Evidence(share, share, share, np.full(500, 10), np.zeros(500))
+        assert abs(learnt_cut(e, (share > true).astype(float)) - true) < 0.06
+
+
 def test_beam_finds_the_most_probable_combination():
     rng = np.random.default_rng(0)
-    share, n, listed = rng.random((40, 3)), np.full(40, 9), np.zeros(40)
-    x = 8 + 3
-    chain = Chain([2, 0, 1], [rng.normal(size=x) for _ in range(3)], [(1.3, 0.1)] * 3, beam=8)
-    got = chain.decode(share, n, listed)
+    e = Evidence(rng.random((40, 3)), rng.random((40, 3)), rng.random((40, 3)), np.full(40, 9), np.zeros(40))
+    x = 11 + 3
+    chain = Chain([2, 0, 1], [rng.normal(size=x) for _ in range(3)], [(1.3, 0.1)] * 3, 0.3, beam=8)
+    got = chain.decode(e)
     from itertools import product
 
     from marginalia.llm.subjects import _design
@@ -61,7 +76,7 @@ def test_beam_finds_the_most_probable_combination():
         for combo in product((0.0, 1.0), repeat=3):
             total, decided = 0.0, np.zeros((1, 3))
             for at, j in enumerate(chain.order):
-                p = chain.probability(at, _design(share[d : d + 1], n[d : d + 1], listed[d : d + 1], j, decided))[0]
+                p = chain.probability(at, _design(e.rows(slice(d, d + 1)), j, decided, chain.cut))[0]
                 total += np.log(p if combo[j] else 1 - p)
                 decided[0, j] = combo[j]
             if best is None or total > best[0]:
