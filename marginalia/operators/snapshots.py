@@ -7,24 +7,28 @@ added, ``previous AND NOT current`` what was removed, and the vectors are compar
 at the ordinals of ``current AND previous``.
 
 Ordinals are dense inside a hash block of keys, so no global sort or single
-counter is needed: (block, ordinal) is the persistent identity of a key.  Every
-step after the one de-duplicating shuffle works inside blocks of bounded size.
+counter is needed: (block, ordinal) is the persistent identity of a key.  The number
+of blocks belongs to the ordinals and is stored with them; what is compared at once
+is a segment of a block's ordinals, so blocks may grow.  :class:`SnapshotState` keeps ordinals and the last
+snapshot between runs, so that a new delivery is compared without the earlier ones.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.bitmap import CompressedBitmap
-from marginalia.runtime import blocks_for
+from marginalia.runtime import Scratch, blocks_for
 
 ROWS_PER_BLOCK = 65_536
+SEGMENT_BITS = 16  # ordinals compared at once
 _NULL = "\u0000null"
 
 
@@ -66,7 +70,7 @@ def latest_per_snapshot(df: DataFrame, snapshot: str, key: str, values: dict[str
 def with_ordinals(rows: DataFrame, blocks: int, known: DataFrame | None = None) -> DataFrame:
     """Adds ``_block`` and ``_ordinal`` to rows with ``_key`` and ``_snapshot``.
 
-    ``known`` is an earlier result of :func:`ordinal_map` made with the same
+    ``known`` has _block, _key and _ordinal of earlier runs with the same
     number of blocks; its keys keep their ordinals and new keys are appended behind
     them in the order of their first snapshot, then by key.
     """
@@ -83,16 +87,10 @@ def with_ordinals(rows: DataFrame, blocks: int, known: DataFrame | None = None)
     return rows.withColumn("_first", first).withColumn("_ordinal", F.coalesce(F.col("_old"), start + fresh).cast("int")).drop("_old", "_first", "_base")
 
 
-def ordinal_map(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``_block``, ``_key``, ``_ordinal`` of all keys so far: write it and pass it as ``known`` with the next snapshots."""
-    new = rows.groupBy("_block", "_key").agg(F.min("_ordinal").alias("_ordinal"))
-    return new if known is None else new.unionByName(known.select("_block", "_key", "_ordinal")).distinct()
-
-
 def _compare_block(snapshots: list[int], prints: list[str]):
     def run(table: pa.Table) -> pa.Table:
         number = table["_snapshot"].to_numpy()
-        ordinal = table["_ordinal"].to_numpy()
+        ordinal = table["_ordinal"].to_numpy() & ((1 << SEGMENT_BITS) - 1)
         n = int(ordinal.max()) + 1
         first_row = np.zeros(n, dtype=np.int64)
         first_row[ordinal] = np.arange(len(ordinal))
@@ -128,8 +126,30 @@ def _compare_block(snapshots: list[int], prints: list[str]):
     return run
 
 
+@dataclass
+class SnapshotState:
+    """What a run leaves to the next: ordinals of all keys so far, and the fingerprints of the last snapshot's rows.
+
+    ``rows``: _block, _key, _ordinal, _present and the fingerprints (null where not present).  Stored as two
+    tables in one folder; the small one, written last, tells blocks and snapshot and makes the folder readable.
+    """
+
+    rows: DataFrame
+    blocks: int
+    snapshot: int | None
+
+    def save(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        self.rows.sparkSession.createDataFrame([(self.blocks, self.snapshot)], "blocks int, snapshot int").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SnapshotState:
+        head = spark.read.parquet(f"{path}/head").first()
+        return cls(spark.read.parquet(f"{path}/rows"), head["blocks"], head["snapshot"])
+
+
 def snapshot_changes(
-    df: DataFrame, snapshot: str, key: str, values: dict[str, Column], version: str, *, known: DataFrame | None = None, blocks: int | None = None
+    df: DataFrame, snapshot: str, key: str, values: dict[str, Column], version: str, *, blocks: int | None = None, state: SnapshotState | None = None
 ) -> DataFrame:
     """Rows (``snapshot``, ``key``, ``change_kind``) for each snapshot against the next lower one present.
 
@@ -137,20 +157,57 @@ def snapshot_changes(
     if equal, null equals only null.  All snapshot numbers in ``df`` are present,
     also one whose rows all lack a key; the first gives no case.  Repeated rows
     and late rows count by :func:`latest_per_snapshot`.  An empty table gives no rows.
-    The numbers of the snapshots (not their rows) come to the driver.
+    The numbers of the snapshots (not their rows) come to the driver.  With the ``state`` of an earlier run see :func:`changes_since`.
     """
-    blocks = blocks or blocks_for(df.count(), ROWS_PER_BLOCK)
+    return changes_since(df, snapshot, key, values, version, blocks=blocks, state=state)[0]
+
+
+def changes_since(
+    df: DataFrame, snapshot: str, key: str, values: dict[str, Column], version: str, *, blocks: int | None = None, state: SnapshotState | None = None, scratch: Scratch | None = None
+) -> tuple[DataFrame, SnapshotState]:
+    """The changes of :func:`snapshot_changes`, and the state to go on from.
+
+    With ``state``, ``df`` holds later snapshots only (a lower or equal number is an error: it was compared
+    already), and the first of them is compared with the state's snapshot.  ``blocks`` can't differ from the state's.
+    """
+    if state is not None and blocks not in (None, state.blocks):
+        raise ValueError(f"the ordinals were made with {state.blocks} blocks, not {blocks}")
+    blocks = state.blocks if state is not None else blocks or blocks_for(df.count(), ROWS_PER_BLOCK)
     numbers = sorted(r[0] for r in df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).cast("int")).distinct().collect())
     rows = latest_per_snapshot(df, snapshot, key, values, version)
     prints = [c for c in rows.columns if c.startswith("_f")]
-    out = "_snapshot int, _key string, _kind string"
+    known = None
+    if state is not None:
+        if state.snapshot is not None and numbers and numbers[0] <= state.snapshot:
+            raise ValueError(f"snapshot {numbers[0]} isn't later than {state.snapshot}, which was compared already")
+        known = state.rows
+        if state.snapshot is not None:
+            numbers = [state.snapshot, *numbers]
+            rows = rows.unionByName(known.where("_present").select(F.lit(state.snapshot).alias("_snapshot"), "_key", *prints))
+    numbered = with_ordinals(rows, blocks, known)
+    if scratch is not None:
+        numbered = scratch.write(numbered, "numbered")
+    last = numbers[-1] if numbers else None
+    now = numbered.groupBy("_block", "_key").agg(F.min("_ordinal").alias("_ordinal"), F.max(F.col("_snapshot") == F.lit(last)).alias("_present"), *(F.max(F.when(F.col("_snapshot") == F.lit(last), F.col(p))).alias(p) for p in prints))
+    if known is not None:
+        gone = known.join(now.select("_block", "_key"), ["_block", "_key"], "left_anti").select("_block", "_key", "_ordinal", F.lit(False).alias("_present"), *(F.lit(None).cast("bigint").alias(p) for p in prints))
+        now = now.unionByName(gone)
     if len(numbers) < 2:
-        return df.sparkSession.createDataFrame([], "a int, b string, change_kind string").toDF(snapshot, key, "change_kind")
-    found = with_ordinals(rows, blocks, known).groupBy("_block").applyInArrow(_compare_block(numbers, prints), out)
-    return found.toDF(snapshot, key, "change_kind")
+        found = df.sparkSession.createDataFrame([], "a int, b string, change_kind string")
+    else:
+        out = "_snapshot int, _key string, _kind string"
+        found = numbered.groupBy("_block", F.shiftright("_ordinal", SEGMENT_BITS).alias("_segment")).applyInArrow(_compare_block(numbers, prints), out)
+    return found.toDF(snapshot, key, "change_kind"), SnapshotState(now, blocks, last)
+
+
+def _manifest_values() -> dict[str, Column]:
+    return {"digest": hex_digest(F.col("file_hash")), "paths": F.to_json(path_set(F.col("source_paths")))}
 
 
 def manifest_changes(df: DataFrame, **options: object) -> DataFrame:
     """:func:`snapshot_changes` for deliveries of the library manifest: digest and path set of each document."""
-    values = {"digest": hex_digest(F.col("file_hash")), "paths": F.to_json(path_set(F.col("source_paths")))}
-    return snapshot_changes(df, "snapshot_no", "document_id", values, "loaded_at", **options)
+    return snapshot_changes(df, "snapshot_no", "document_id", _manifest_values(), "loaded_at", **options)
+
+
+def manifest_changes_since(df: DataFrame, **options: object) -> tuple[DataFrame, SnapshotState]:
+    return changes_since(df, "snapshot_no", "document_id", _manifest_values(), "loaded_at", **options)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.snapshots import manifest_changes
+from marginalia.operators.snapshots import SnapshotState, manifest_changes, manifest_changes_since
 from marginalia.plans.tables import table
+from marginalia.runtime import Scratch
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,18 @@ def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_change_counts": p1_change_counts}
+def p1_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes, found in two runs: the second knows the first only by the stored ordinals and last snapshot."""
+    df, scratch = table(spark, sf_dir, "sync_snapshots"), Scratch(spark, "two-runs")
+    numbers = sorted(r[0] for r in df.where("snapshot_no IS NOT NULL").select("snapshot_no").distinct().collect())
+    half = numbers[len(numbers) // 2]
+    first, state = manifest_changes_since(df.where(F.col("snapshot_no") <= half))
+    state.save(scratch.path("state"))
+    second, _ = manifest_changes_since(df.where(F.col("snapshot_no") > half), state=SnapshotState.load(spark, scratch.path("state")))
+    return first.unionByName(second)
+
+
+QUERIES = {"p1_found": p1_found, "p1_change_counts": p1_change_counts, "p1_two_runs": p1_two_runs}
 
 _CHANGES = r"""
 WITH numbered AS (
@@ -45,5 +57,6 @@ FROM pairs WHERE before_id IS NULL OR now_id IS NULL OR d1 IS DISTINCT FROM d0 O
 
 SQL = {
     "p1_found": _CHANGES,
+    "p1_two_runs": _CHANGES,
     "p1_change_counts": f"SELECT snapshot_no, change_kind, count(*) AS n_documents FROM ({_CHANGES}) GROUP BY ALL",
 }

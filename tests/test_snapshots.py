@@ -2,11 +2,13 @@ import json
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marginalia.functions.bitmap import CompressedBitmap
-from marginalia.operators.snapshots import latest_per_snapshot, manifest_changes, ordinal_map, with_ordinals
+from marginalia.operators import snapshots
+from marginalia.operators.snapshots import SnapshotState, manifest_changes, manifest_changes_since
 from pyspark.sql import functions as F
 
 SCHEMA = "snapshot_no int, loaded_at timestamp, document_id string, file_hash string, source_paths string, extra string"
@@ -81,16 +83,28 @@ def test_against_brute_force_with_a_hot_key(spark):
     assert found(manifest_changes(rows(spark, data), blocks=7)) == sorted(want)
 
 
-def test_ordinals_persist(spark):
-    one = rows(spark, [(1, 0, f"k{i}", "1", None) for i in range(50)])
-    both = rows(spark, [(1, 0, f"k{i}", "1", None) for i in range(50)] + [(2, 0, f"n{i}", "1", None) for i in range(30)])
-    latest = lambda df: latest_per_snapshot(df, "snapshot_no", "document_id", {"h": F.col("file_hash")}, "loaded_at")
-    known = ordinal_map(with_ordinals(latest(one), 3)).cache()
-    grown = ordinal_map(with_ordinals(latest(both), 3, known), known)
-    old = {r._key: (r._block, r._ordinal) for r in known.collect()}
-    new = {r._key: (r._block, r._ordinal) for r in grown.collect()}
-    assert len(new) == 80 and all(new[k] == v for k, v in old.items()) and len(set(new.values())) == 80
-    assert found(manifest_changes(both, known=known, blocks=3)) == found(manifest_changes(both, blocks=3))
+def test_ordinals_persist_and_go_with_their_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "SEGMENT_BITS", 3)  # several segments a block
+    first = [(1, 0, f"k{i}", "1", None) for i in range(50)] + [(2, 0, f"k{i}", str(i % 2), None) for i in range(45)]
+    later = [(5, 0, f"k{i}", "1", None) for i in range(48)] + [(5, 0, f"n{i}", "1", None) for i in range(30)]
+    last = [(6, 0, f"n{i}", "1", '["x"]') for i in range(60)]
+    changes, state = manifest_changes_since(rows(spark, first), blocks=3)
+    state.save(str(tmp_path / "a"))
+    got, old = found(changes), {r._key: (r._block, r._ordinal) for r in state.rows.collect()}
+    for n, part in enumerate((later, last)):
+        before = SnapshotState.load(spark, str(tmp_path / "ab"[n]))
+        assert (before.blocks, before.snapshot) == (3, (2, 5)[n])
+        changes, state = manifest_changes_since(rows(spark, part), state=before)
+        state.save(str(tmp_path / "bc"[n]))
+        got += found(changes)
+    new = {r._key: (r._block, r._ordinal) for r in SnapshotState.load(spark, str(tmp_path / "c")).rows.collect()}
+    assert len(new) == 110 and all(new[k] == v for k, v in old.items()) and len(set(new.values())) == 110
+    assert sorted(got) == found(manifest_changes(rows(spark, first + later + last)))
+    with pytest.raises(ValueError, match="blocks"):
+        manifest_changes(rows(spark, last), state=before, blocks=4)
+    with pytest.raises(ValueError, match="later"):
+        manifest_changes(rows(spark, later), state=before)
+    assert found(manifest_changes(rows(spark, []), state=before)) == []
 
 
 def test_clashing_columns(spark):
