@@ -110,10 +110,10 @@ def _rendezvous(group: Column, weights: dict[str, float]) -> Column:
 def assign_splits(groups: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """(``key``, ``group_id``, ``target_split``): whole groups to splits with about the wanted shares of rows.
 
-    Groups with more than 1/``LARGE_PART`` of the rows, fewer than that many, would
-    upset the shares if hashed: they go, largest first, to the split that lacks most.
-    All others follow by weighted rendezvous hashing with what is still lacking as weights, so a
-    change of one share moves only the groups it must.  ``targets`` is a fixed table; shares
+    Groups follow by weighted rendezvous hashing, so a change of one share moves only the groups it must and growth of
+    the table moves none.  Only a group that holds more than a tenth of the smallest share (and at least 1/``LARGE_PART`` of the rows,
+    so there are fewer than that many) would upset the shares wherever its hash falls: such go, largest first, to the split that lacks
+    most, and what is still lacking weighs the others.  ``targets`` is a fixed table; shares
     are taken relative to their sum, rows without split or positive share don't count, and without any
     the split is null.
     """
@@ -125,13 +125,14 @@ def assign_splits(groups: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     total = groups.count()
     lacking = {r["target_split"]: r["share"] / whole * total for r in sorted(wanted)}
     sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > max(total // LARGE_PART, 1)).orderBy(F.desc("n"), "group_id").limit(LARGE_PART).collect() if lacking else []
+    least = max(min(lacking.values()) / 10, total / LARGE_PART, 1) if lacking else 0
+    large = sizes.where(F.col("n") > least).orderBy(F.desc("n"), "group_id").limit(LARGE_PART).collect() if lacking else []
     placed = []
     for r in large:
         best = max(sorted(lacking), key=lambda s: lacking[s])
         lacking[best] -= r["n"]
         placed.append((r["group_id"], best))
-    rest = {s: max(v, 0.0) for s, v in lacking.items()}
+    rest = {s: max(v, 0.0) for s, v in lacking.items()} if placed else {r["target_split"]: r["share"] for r in wanted}
     if lacking and not any(rest.values()):
         rest = {r["target_split"]: r["share"] for r in wanted}
     out = groups.withColumn("_hashed", _rendezvous(F.col("group_id"), rest))
