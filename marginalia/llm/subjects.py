@@ -9,7 +9,7 @@
    turns up in documents of every subject, as in a figure of speech, so has no lift.
    (Word pairs were tried and left out: on held-out examples they added nothing.)
 3. Chain.  Each subject, the more frequent first, has a logistic model over terms (lift of the subject's terms a
-   sentence, different terms), structure (share of sentences about it and its distance from a cut learnt from the
+   sentence, occurrences of its terms), structure (share of sentences about it and its distance from a cut learnt from the
    examples, sentences, list items, undecided sentences) and the
    subjects already decided before it in the chain; features of the examples are cross-fitted and the
    probabilities calibrated on the same held-out folds.
@@ -199,16 +199,13 @@ class Evidence:
 
     share: np.ndarray  # of its sentences
     lift: np.ndarray  # mean of the positive summed lifts of its sentences
-    terms: np.ndarray  # different terms that speak for the subject, as a logarithm
+    terms: np.ndarray  # occurrences of terms that speak for the subject, as a logarithm
     n: np.ndarray  # sentences
     listed: np.ndarray  # share of list lines
 
     def rows(self, pick: np.ndarray | slice) -> Evidence:
         return Evidence(*(v[pick] for v in (self.share, self.lift, self.terms, self.n, self.listed)))
 
-    def repeated(self, times: int) -> Evidence:
-        return Evidence(*(np.repeat(v, times, 0) for v in (self.share, self.lift, self.terms, self.n, self.listed)))
-
 
 def evidence(s: Sentences, t: TermTable) -> Evidence:
     scores, k = sentence_scores(s, t), t.lift.shape[1]
@@ -221,9 +218,7 @@ def evidence(s: Sentences, t: TermTable) -> Evidence:
     best = np.append(np.where(t.lift.max(axis=1) > 0, t.lift.argmax(axis=1), -1), -1)
     word = np.minimum(s.word, len(t.lift))
     of = best[word] >= 0
-    once = np.unique(s.document[s.sentence[of]] * (len(t.lift) + 1) + word[of])
-    document, word = once // (len(t.lift) + 1), once % (len(t.lift) + 1)
-    terms = np.bincount(document * k + best[word], minlength=s.n_documents * k).reshape(s.n_documents, k)
+    terms = np.bincount(s.document[s.sentence[of]] * k + best[word[of]], minlength=s.n_documents * k).reshape(s.n_documents, k)
     return Evidence(flat / many, lift / many, np.log1p(terms), n, s.listed)
 
 
@@ -246,7 +241,8 @@ def count_words(s: Sentences, weight: np.ndarray, n_words: int) -> np.ndarray:
     counted = weight.sum(axis=1) > 0 if len(weight) else np.zeros(0, bool)
     weight = np.column_stack([weight, counted])
     use = counted[s.sentence] & (s.word >= _RESERVED)
-    once = np.unique(s.sentence[use].astype(np.int64) * n_words + s.word[use])
+    once = np.sort(s.sentence[use].astype(np.int64) * n_words + s.word[use])
+    once = once[np.append(True, once[1:] != once[:-1])] if len(once) else once
     sentence, word = once // n_words, once % n_words
     return np.stack([np.bincount(word, weights=weight[sentence, j], minlength=n_words) for j in range(weight.shape[1])], axis=1)
 
@@ -284,9 +280,10 @@ class Chain:
     beam: int = BEAM
     left_out: tuple[str, ...] = ()
 
-    def probability(self, at: int, x: np.ndarray) -> np.ndarray:
+    def score(self, at: int, x: np.ndarray) -> np.ndarray:
+        """Calibrated log-odds."""
         a, b = self.calibration[at]
-        return 1.0 / (1.0 + np.exp(-np.clip(a * (x @ self.weights[at]) + b, -30, 30)))
+        return a * (x @ self.weights[at]) + b
 
     def decode(self, e: Evidence) -> np.ndarray:
         """The most probable combination for each document (documents x subjects), by beam search."""
@@ -295,9 +292,10 @@ class Chain:
         score = np.zeros((docs, 1))
         for at, subject in enumerate(self.order):
             width = labels.shape[1]
-            flat = labels.reshape(docs * width, k)
-            x = _design(e.repeated(width), subject, flat, self.cut, self.left_out)
-            p = np.clip(self.probability(at, x).reshape(docs, width), 1e-9, 1 - 1e-9)
+            # A document's own features once, and what was decided before for each combination kept.
+            own = self.score(at, _design(e, subject, np.zeros((docs, k)), self.cut, self.left_out))
+            before = labels @ (self.calibration[at][0] * self.weights[at][-k:]) if "chain" not in self.left_out else np.zeros((docs, width))
+            p = np.clip(1.0 / (1.0 + np.exp(-np.clip(own[:, None] + before, -30, 30))), 1e-9, 1 - 1e-9)
             yes = labels.copy()
             yes[:, :, subject] = 1.0
             both = np.concatenate([labels, yes], axis=1)

@@ -76,7 +76,7 @@ def test_beam_finds_the_most_probable_combination():
         for combo in product((0.0, 1.0), repeat=3):
             total, decided = 0.0, np.zeros((1, 3))
             for at, j in enumerate(chain.order):
-                p = chain.probability(at, _design(e.rows(slice(d, d + 1)), j, decided, chain.cut))[0]
+                p = 1 / (1 + np.exp(-chain.score(at, _design(e.rows(slice(d, d + 1)), j, decided, chain.cut))[0]))
                 total += np.log(p if combo[j] else 1 - p)
                 decided[0, j] = combo[j]
             if best is None or total > best[0]:
