@@ -20,6 +20,13 @@ def query_budgets(total: int, queries: int) -> list[int]:
     return [first, *(share + 1 if i < extra else share for i in range(queries - 1))]
 
 
+def budget(total: int, queries: Column, place: Column) -> Column:
+    """:func:`query_budgets` of a table of variants: the budget of the query at ``place`` (0: the original) of ``queries`` in all."""
+    first = -(-total // 2)
+    rest, others = F.lit(total - first), F.greatest(queries - 1, F.lit(1))
+    return F.when(queries <= 1, F.lit(total)).when(place == 0, F.lit(first)).otherwise((F.floor(rest / others) + (place - 1 < rest % others).cast("int")).cast("int"))
+
+
 def variant_weights(queries: int) -> list[float]:
     """1 for the original query, the variants share another 1."""
     return [1.0, *([1.0 / (queries - 1)] * (queries - 1))] if queries > 1 else [1.0]

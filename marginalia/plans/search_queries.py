@@ -116,8 +116,8 @@ def rejected_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    """The best 20 citations of an answer, five of them for relevance and variety."""
-    kept, _ = by_threshold(_candidates(spark, d).where(F.col("rank") <= 20), 0.01)
+    """Of all citations of an answer five for relevance and variety."""
+    kept, _ = by_threshold(_candidates(spark, d), 0.01)
     return mmr(kept.withColumn("terms", F.array_distinct(terms(F.col("text")))), 5, 0.75, 2)
 
 
@@ -143,16 +143,30 @@ def similarity_to_chunk(spark: SparkSession, d: str) -> DataFrame:
     return cited.join(stored, "chunk_id").select("citation_id", F.round(term_overlap(F.col("text"), F.col("stored")), 6).alias("likeness"))
 
 
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce("source", F.col("doc_id").cast("string")).alias("paper"), "source", "page", F.coalesce("text", F.lit("")).alias("text"), "title")
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: every hundredth label's question through lexical search, fusion, reranking, threshold and diversity."""
-    return search(_questions(spark, d).select("query_id", "text"), _chunks(spark, d), RetrievalConfig())
+    """The flagship: every hundredth document that has a vector asks by vector and title; both lists are fused, reranked, thresholded and diversified."""
+    docs, v = _corpus(spark, d), _vectors(spark, d)
+    asked = docs.where((F.col("id") % EVERY == 0) & F.col("title").isNotNull()).join(v.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+    config = RetrievalConfig()
+    near = nearest(v.where(F.col("id") % EVERY == 0), v, config.dense_candidates)
+    return search(asked, docs, config, dense=near).withColumn("reranker_score", F.round("reranker_score", 6)).drop("text")
+
+
+def lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth label's question over the stored chunks, which have no vectors: the same steps with words only."""
+    return search(_questions(spark, d).select("query_id", "text"), _chunks(spark, d), RetrievalConfig()).withColumn("reranker_score", F.round("reranker_score", 6)).drop("text")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, term_doc_freq, bm25_topk, bm25_scoped, dense_topk, dense_scoped, rrf_hybrid, rrf_weighted_variants, rerank_reserve, rerank_pairs,
-        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, infer_task, similarity_to_chunk, hybrid_search,
+        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, infer_task, similarity_to_chunk, hybrid_search, lexical_search,
     )
 }
 
@@ -182,7 +196,7 @@ def jaccard_sql(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END)"
 
 
-_CHUNK_CTE = f"""chunks AS (SELECT chunk_id AS id, source, coalesce(title, '') AS title, coalesce(text, '') AS text,
+_CHUNK_CTE = f"""chunks AS (SELECT chunk_id AS id, source, page, coalesce(title, '') AS title, coalesce(text, '') AS text,
   coalesce(nullif(document_id, ''), nullif(file_hash, ''), nullif(source, ''), chunk_id) AS paper FROM {latest_sql("sync_chunks", "chunk_id")})"""
 _QUESTION_CTE = f"""asked AS (SELECT label_id AS query_id, query AS text, source FROM {latest_sql("relevance_labels_to_review", "label_id")} WHERE label_id % {EVERY} = 0 AND query IS NOT NULL)"""
 
@@ -199,10 +213,10 @@ scored AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1
   FROM posted JOIN weighted USING (term), corpus_size GROUP BY ALL)"""
 
 
-def _nearest_sql(queries: str, condition: str = "true") -> str:
+def _nearest_sql(queries: str, condition: str = "true", most: int = TOP) -> str:
     return f"""SELECT query_id, id, distance, -distance AS dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 9) AS distance
-  FROM {queries} q, embeddings v WHERE {condition}) QUALIFY rank <= {TOP}"""
+  FROM {queries} q, embeddings v WHERE {condition}) QUALIFY rank <= {most}"""
 
 
 _EVERY_VECTOR = f"(SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0)"
@@ -223,6 +237,29 @@ def _fused_sql(weight: str = "1.0") -> str:
 _CANDIDATES = f"""
 c AS (SELECT *, map_extract_value(scores, 'reranker_score') AS s, coalesce(map_extract_value(scores, 'rrf_score'), 0.0) AS r FROM {latest_sql("citations", "citation_id")} WHERE answer_id IS NOT NULL),
 ranked AS (SELECT answer_id AS query_id, citation_id AS id, coalesce(document_id, source, '') AS paper, s, row_number() OVER (PARTITION BY answer_id ORDER BY s DESC, r DESC, citation_id) AS rank FROM c WHERE s IS NOT NULL AND isfinite(s))"""
+
+
+def _mmr_sql(pool: str, k: int, balance: float, cap: int) -> str:
+    """Common table expressions pick1 .. pick<k> over a pool (query_id, id, paper, s, t): each step sees the steps before."""
+    out = [f"pool AS (SELECT query_id, id, paper, s, t, CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS r FROM {pool} WINDOW w AS (PARTITION BY query_id))", "pick0 AS (SELECT query_id, id, paper, t, 0 AS place FROM pool WHERE false)"]
+    for n in range(1, k + 1):
+        before = f"pick{n - 1}"
+        out.append(f"""pick{n} AS (SELECT * FROM {before} UNION ALL SELECT query_id, id, paper, t, {n} FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY p.query_id ORDER BY round({balance} * p.r - {1.0 - balance} * coalesce(l.likeness, 0.0), 12) DESC, p.s DESC, p.id) AS rn
+  FROM pool p LEFT JOIN (SELECT a.query_id, a.id, max({jaccard_sql("a.t", "b.t")}) AS likeness FROM pool a JOIN {before} b USING (query_id) GROUP BY ALL) l USING (query_id, id)
+  WHERE (p.query_id, p.id) NOT IN (SELECT (query_id, id) FROM {before}) AND (SELECT count(*) FROM {before} c WHERE c.query_id = p.query_id AND c.paper = p.paper) < {cap}) WHERE rn = 1)""")
+    return ", ".join(out) + f", picked AS (SELECT query_id, id, CAST(place AS INTEGER) AS place FROM pick{k})"
+
+
+def _search_sql(corpus: str, asked: str, lists: str) -> str:
+    """The rest of a search behind the common table expressions of its lists (query_id, list_no, id, rank)."""
+    return f"""fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 12) AS rrf_score FROM {lists} GROUP BY ALL)),
+scored_pairs AS (SELECT query_id, id, rrf_score, {jaccard_sql("q.t", "c.t")} AS s, paper, source, page, c.t AS t FROM fused JOIN (SELECT query_id, list_distinct({terms_sql("text")}) AS t FROM {asked}) q USING (query_id)
+  JOIN (SELECT id, paper, source, page, list_distinct({terms_sql("text")}) AS t FROM {corpus}) c USING (id) WHERE rank <= 20),
+able AS (SELECT * FROM scored_pairs WHERE s >= 0.01), {_mmr_sql("able", 5, 0.75, 2)}
+SELECT query_id, place, id, source, page, rrf_score, round(s, 6) AS reranker_score FROM picked JOIN able USING (query_id, id)"""
+
+
 _SMALL = "['a','an','and','in','of','the','to','this','paper']"
 
 SQL = {
@@ -241,6 +278,16 @@ SELECT query_id, id, bm25_score, CAST(row_number() OVER (PARTITION BY query_id O
 u AS (SELECT query_id, id, 0 AS turn, rank FROM lists WHERE list_no = 0 AND rank <= 6 UNION ALL SELECT query_id, id, 1, rank FROM fused),
 b AS (SELECT query_id, id, min(turn * 1000000 + rank) AS place_at FROM u GROUP BY ALL)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place_at, id) AS INTEGER) AS place FROM b QUALIFY place <= 11""",
+    "mmr_select": f"""WITH {_CANDIDATES}, t AS (SELECT query_id, id, paper, s, list_distinct({terms_sql('text')}) AS t FROM ranked JOIN (SELECT citation_id AS id, text FROM {latest_sql('citations', 'citation_id')}) USING (id) WHERE s >= 0.01),
+{_mmr_sql('t', 5, 0.75, 2)} SELECT * FROM picked""",
+    "hybrid_search": f"""WITH docs AS (SELECT doc_id AS id, coalesce(source, CAST(doc_id AS VARCHAR)) AS paper, source, page, coalesce(text, '') AS text, title FROM documents),
+wanted AS (SELECT id AS query_id, title AS text FROM docs WHERE id % {EVERY} = 0 AND title IS NOT NULL AND id IN (SELECT vec_id FROM embeddings)), {_bm25_cte('wanted', 'docs')},
+lists AS (SELECT query_id, 0 AS list_no, id, rank FROM ({_nearest_sql('(SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM wanted))', most=20)})
+  UNION ALL SELECT query_id, 1, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20),
+{_search_sql('docs', 'wanted', 'lists')}""",
+    "lexical_search": f"""WITH {_CHUNK_CTE}, {_QUESTION_CTE}, guarded AS (SELECT query_id, text FROM asked WHERE NOT regexp_matches(text, '(?i)\\bthis\\s+(paper|article|study|survey)\\b')), {_bm25_cte('guarded', 'chunks')},
+lists AS (SELECT query_id, 1 AS list_no, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 20),
+{_search_sql('chunks', 'guarded', 'lists')}""",
     "rerank_pairs": f"SELECT label_id, round({jaccard_sql('a', 'b')}, 6) AS reranker_score FROM (SELECT label_id, list_distinct({terms_sql('query')}) AS a, list_distinct({terms_sql('passage')}) AS b FROM {latest_sql('relevance_labels_to_review', 'label_id')})",
     "threshold_and_paper_cap": f"""WITH {_CANDIDATES},
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper ORDER BY rank) AS n FROM ranked WHERE s >= 0.3)
