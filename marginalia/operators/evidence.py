@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# How citations are written (as asked for, nearly so, in the old style), and words that make a sentence factual or a label.
 _CITED_UNICODE = r"(?<![\p{L}\p{N}_])\[(E\p{Nd}+)\](?!\s*\()"
 _LIKE = r"(?i)\[(E\s*\d+[^\]]*)\]"
 _LEGACY = r"(?i)(\[[^\]\n,]+,\s*(?:[^\]]+,\s*)?p\.\s*\d+[^\]]*\])"
@@ -47,10 +48,15 @@ def number_evidence(rows: DataFrame, group: str, order: list[Column]) -> DataFra
     return first.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(W.partitionBy(group).orderBy(*order)))).drop("_same", "_has", "_n")
 
 
+def source_name(title: Column, source: Column) -> Column:
+    """``title (source)``; only one of them where the other is unknown or the same."""
+    label = F.coalesce(F.nullif(title, F.lit("")), F.nullif(source, F.lit("")), F.lit("Unknown document"))
+    return F.when((F.coalesce(source, F.lit("")) != "") & (source != label), F.concat(label, F.lit(" ("), source, F.lit(")"))).otherwise(label)
+
+
 def reference(title: Column, source: Column, page: Column) -> Column:
     """``title (source), page n`` as far as known."""
-    label = F.coalesce(F.nullif(title, F.lit("")), F.nullif(source, F.lit("")), F.lit("Unknown document"))
-    named = F.when((F.coalesce(source, F.lit("")) != "") & (source != label), F.concat(label, F.lit(" ("), source, F.lit(")"))).otherwise(label)
+    named = source_name(title, source)
     return F.when(page.isNotNull(), F.concat(named, F.lit(", page "), page.cast("string"))).otherwise(named)
 
 
@@ -81,8 +87,10 @@ def validate(answers: DataFrame, evidence: DataFrame, key: str, text: str = "tex
 
 
 def context_blocks(evidence: DataFrame, group: str) -> DataFrame:
-    """(group, ``context``): the blocks of a prompt in the order of their ids."""
-    block = F.concat_ws("\n", F.concat(F.lit("["), "evidence_id", F.lit("]")), F.concat(F.lit("Source: "), F.coalesce("source", F.lit("unknown"))), F.concat(F.lit("Page: "), F.coalesce(F.col("page").cast("string"), F.lit("unknown"))), F.lit("Content:"), F.coalesce("text", F.lit("")))
+    """(group, ``context``): the blocks of a prompt in the order of their ids; a null page has no line. ``title`` may be missing."""
+    title = F.col("title") if "title" in evidence.columns else F.lit(None).cast("string")
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit("Page: "), F.col("page").cast("string")))
+    block = F.concat_ws("\n", F.concat(F.lit("["), "evidence_id", F.lit("]")), F.concat(F.lit("Source: "), source_name(title, F.col("source"))), page, F.concat(F.lit("Content: "), F.coalesce("text", F.lit(""))))
     number = F.substring("evidence_id", 2, 9).cast("int")
     listed = F.array_sort(F.collect_list(F.struct(number.alias("n"), block.alias("b"))))
     return evidence.groupBy(group).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("context"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.functions.passages import paragraphs, passages, sentences
+from marginalia.functions.passages import Tokenizer, characters, paragraphs, passages, sentences
 from marginalia.functions.terms import fold_case
 from marginalia.operators.chunks import UNTITLED
 
@@ -117,10 +117,9 @@ def paragraph_rows(pages: DataFrame, key: str) -> DataFrame:
         for b in batches:
             rows = []
             for k, t in zip(b["key"].to_pylist(), b["text"].to_pylist()):
-                before = 0
-                for i, p in enumerate(paragraphs(t or "")):
-                    rows.append((k, i, p.start, p.end, p.section if p.section_id > before else None))
-                    before = p.section_id
+                page = paragraphs(t or "")
+                opens = [a != b for a, b in zip(page.section_id, [0, *page.section_id])]
+                rows += [(k, i, a, b, name if new else None) for i, (a, b, name, new) in enumerate(zip(page.start, page.end, page.section, opens))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
     out = pages.select(F.col(key).alias("key"), "text").mapInArrow(run, "key bigint, paragraph int, start int, end int, heading string")
@@ -143,15 +142,15 @@ def sentence_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.posexplode(spans.asNondeterministic()(F.col(text))).alias("sentence", "_s")).select(key, "sentence", F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
 
 
-def passage_rows(pages: DataFrame, key: str, size: int, overlap: int, counter: Callable[[str], int] = len) -> DataFrame:
+def passage_rows(pages: DataFrame, key: str, size: int, overlap: int, tokens: Tokenizer = characters) -> DataFrame:
     """(key, ``passage`` from 0, ``start``, ``end``, ``section``, ``section_id``, ``paragraph_start``, ``paragraph_end``) of every page.
 
-    Sizes are in the counter's tokens; by default a token is a character.
+    Sizes are in the tokenizer's tokens; by default a token is a character.
     """
     fields = "passage:int,start:int,end:int,section:string,section_id:int,paragraph_start:int,paragraph_end:int"
 
     @F.pandas_udf(f"array<struct<{fields}>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"passage": i, **p.__dict__} for i, p in enumerate(passages(t, paragraphs(t), size, overlap, counter))] if t and t.strip() else [])
+        return texts.map(lambda t: [{"passage": i, **p.__dict__} for i, p in enumerate(passages(t, paragraphs(t), size, overlap, tokens))] if t and t.strip() else [])
 
     return pages.select(key, F.explode(cut.asNondeterministic()(F.col("text"))).alias("_p")).select(key, "_p.*")

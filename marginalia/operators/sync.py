@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 VISIBLE = ("indexed", "stale")
 
 
-def by_content(files: DataFrame) -> DataFrame:
-    """(digest, paths): files of equal content in one row, paths sorted; the first path is the primary one."""
-    return files.where("digest IS NOT NULL AND path IS NOT NULL").groupBy("digest").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+def by_content(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, digest, paths): files of equal content in one row, paths sorted; the first path is the primary one."""
+    return files.where("digest IS NOT NULL AND path IS NOT NULL").groupBy(*by, "digest").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def plan_sync(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(digest, action, primary_path, n_duplicates) for every content known on either side.
+def plan_sync(files: DataFrame, manifest: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(digest, action, primary_path, n_duplicates) for every content known on either side; with ``by``, for each of several libraries or deliveries.
 
     ``files`` (digest, path) is the library now, ``manifest`` (digest, paths) what was committed.  A content on
     both sides is ``unchanged``, or ``renamed`` if exactly one path left, one came and none stayed, or
     ``moved`` if paths differ otherwise.  A content only in the library is ``modified`` where one of its paths held another
     content before, else ``added``; one only in the manifest is ``replaced`` where its path lives on, else ``deleted``.
     """
-    now = by_content(files).withColumnRenamed("paths", "now_paths")
-    then = manifest.where("digest IS NOT NULL").select("digest", F.array_sort("paths").alias("then_paths"))
-    both = now.join(then, "digest", "full_outer")
-    old = then.select(F.explode("then_paths").alias("path")).distinct().withColumn("_was", F.lit(True))
-    new = now.select(F.explode("now_paths").alias("path")).distinct().withColumn("_is", F.lit(True))
-    reused = now.select("digest", F.explode("now_paths").alias("path")).join(old, "path").groupBy("digest").agg(F.lit(True).alias("_path_was"))
-    living = then.select("digest", F.explode("then_paths").alias("path")).join(new, "path").groupBy("digest").agg(F.lit(True).alias("_path_is"))
-    joined = both.join(reused, "digest", "left").join(living, "digest", "left")
+    now = by_content(files, by).withColumnRenamed("paths", "now_paths")
+    then = manifest.where("digest IS NOT NULL").select(*by, "digest", F.array_sort("paths").alias("then_paths"))
+    content, place = [*by, "digest"], [*by, "path"]
+    both = now.join(then, content, "full_outer")
+    old, new = then.select(*by, "digest", F.explode("then_paths").alias("path")), now.select(*by, "digest", F.explode("now_paths").alias("path"))
+    reused = new.join(old.select(*place).distinct(), place, "left_semi").select(*content).distinct().withColumn("_path_was", F.lit(True))
+    living = old.join(new.select(*place).distinct(), place, "left_semi").select(*content).distinct().withColumn("_path_is", F.lit(True))
+    joined = both.join(reused, content, "left").join(living, content, "left")
     came, went = F.size(F.array_except("now_paths", "then_paths")), F.size(F.array_except("then_paths", "now_paths"))
     stayed = F.size(F.array_intersect("now_paths", "then_paths"))
     action = (
@@ -39,11 +39,11 @@ def plan_sync(files: DataFrame, manifest: DataFrame) -> DataFrame:
         .otherwise("moved")
     )
     first = F.coalesce(F.try_element_at("now_paths", F.lit(1)), F.try_element_at("then_paths", F.lit(1)))
-    return joined.select("digest", action.alias("action"), first.alias("primary_path"), F.greatest(F.size("now_paths") - 1, F.lit(0)).alias("n_duplicates"))
+    return joined.select(*by, "digest", action.alias("action"), first.alias("primary_path"), F.greatest(F.size("now_paths") - 1, F.lit(0)).alias("n_duplicates"))
 
 
-def sync_counts(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("n_duplicates"))
+def sync_counts(plan: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return plan.groupBy(*by, "action").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("n_duplicates"))
 
 
 def check_deletions(plan: DataFrame, limit: float, force: bool = False) -> None:

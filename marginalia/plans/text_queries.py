@@ -64,21 +64,27 @@ def content_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-def _delivered(spark: SparkSession, d: str, first: bool) -> DataFrame:
-    """Digest and path rows of the first or the last snapshot."""
-    t = table(spark, d, "sync_snapshots")
-    bound = t.agg((F.min if first else F.max)("snapshot_no").alias("snapshot_no"))
-    return t.join(F.broadcast(bound), "snapshot_no").select(F.nullif(hex_digest(F.col("file_hash")), F.lit("")).alias("digest"), F.explode(path_set(F.col("source_paths"))).alias("path"))
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """All deliveries, of each record the row loaded last, with the number of the delivery before."""
+    t = table(spark, d, "sync_snapshots").where("snapshot_no IS NOT NULL AND trim(document_id) <> ''").withColumn("_key", F.struct("snapshot_no", "document_id"))
+    numbers = table(spark, d, "sync_snapshots").where("snapshot_no IS NOT NULL").select("snapshot_no").distinct()
+    numbers = numbers.withColumn("next_no", F.lead("snapshot_no").over(W.orderBy("snapshot_no")))  # a row a delivery
+    return latest_by(t, "_key").join(F.broadcast(numbers), "snapshot_no")
 
 
 def sync_plan(spark: SparkSession, d: str) -> DataFrame:
-    return plan_sync(_delivered(spark, d, False), by_content(_delivered(spark, d, True)))
+    """What to do at each delivery, given the one before."""
+    rows = _deliveries(spark, d).select("snapshot_no", "next_no", F.nullif(hex_digest(F.col("file_hash")), F.lit("")).alias("digest"), F.explode(path_set(F.col("source_paths"))).alias("path"))
+    first = rows.agg(F.min("snapshot_no").alias("_first"))
+    now = rows.join(F.broadcast(first), F.col("snapshot_no") > F.col("_first")).drop("_first", "next_no")
+    then = rows.where("next_no IS NOT NULL").select(F.col("next_no").alias("snapshot_no"), "digest", "path")
+    return plan_sync(now, by_content(then, ("snapshot_no",)), ("snapshot_no",))
 
 
 def sync_plan_counts(spark: SparkSession, d: str) -> DataFrame:
     plan = sync_plan(spark, d)
     check_deletions(plan, 0.9)
-    return sync_counts(plan)
+    return sync_counts(plan, ("snapshot_no",))
 
 
 def _owners(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +218,7 @@ def leakage_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def display_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(plain_text(F.col("text"), entities=False)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(plain_text(F.col("text"))).alias("digest"))
 
 
 def bibliography_cut(spark: SparkSession, d: str) -> DataFrame:
@@ -258,14 +264,17 @@ def _digest_sql(x: str) -> str:
 
 _PATHS = """CASE WHEN source_paths IS NULL OR trim(source_paths) IN ('', 'null') THEN [] ELSE list_sort(list_distinct(from_json(source_paths, '["VARCHAR"]'))) END"""
 _PLAN = f"""
-f AS (SELECT {_digest_sql("file_hash")} AS digest, unnest({_PATHS}) AS path FROM sync_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM sync_snapshots)),
-m AS (SELECT {_digest_sql("file_hash")} AS digest, unnest({_PATHS}) AS path FROM sync_snapshots WHERE snapshot_no = (SELECT min(snapshot_no) FROM sync_snapshots)),
-n AS (SELECT digest, list_sort(list(DISTINCT path)) AS np FROM f WHERE digest IS NOT NULL GROUP BY digest), o AS (SELECT digest, list_sort(list(DISTINCT path)) AS op FROM m WHERE digest IS NOT NULL GROUP BY digest),
-plan AS (SELECT digest, CASE
-    WHEN op IS NULL THEN CASE WHEN list_has_any(np, (SELECT list(path) FROM m WHERE digest IS NOT NULL)) THEN 'modified' ELSE 'added' END
-    WHEN np IS NULL THEN CASE WHEN list_has_any(op, (SELECT list(path) FROM f WHERE digest IS NOT NULL)) THEN 'replaced' ELSE 'deleted' END
+numbered AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS next_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS before_no FROM (SELECT DISTINCT snapshot_no FROM sync_snapshots WHERE snapshot_no IS NOT NULL)),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, document_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM sync_snapshots WHERE trim(document_id) <> '') WHERE rn = 1),
+rows_ AS (SELECT snapshot_no, next_no, before_no, {_digest_sql("file_hash")} AS digest, unnest({_PATHS}) AS path FROM latest JOIN numbered USING (snapshot_no)),
+f AS (SELECT snapshot_no, digest, path FROM rows_ WHERE before_no IS NOT NULL AND digest IS NOT NULL),
+m AS (SELECT next_no AS snapshot_no, digest, path FROM rows_ WHERE next_no IS NOT NULL AND digest IS NOT NULL),
+n AS (SELECT snapshot_no, digest, list_sort(list(DISTINCT path)) AS np FROM f GROUP BY ALL), o AS (SELECT snapshot_no, digest, list_sort(list(DISTINCT path)) AS op FROM m GROUP BY ALL),
+plan AS (SELECT snapshot_no, digest, CASE
+    WHEN op IS NULL THEN CASE WHEN (snapshot_no, digest) IN (SELECT (f.snapshot_no, f.digest) FROM f JOIN m ON f.snapshot_no = m.snapshot_no AND f.path = m.path) THEN 'modified' ELSE 'added' END
+    WHEN np IS NULL THEN CASE WHEN (snapshot_no, digest) IN (SELECT (m.snapshot_no, m.digest) FROM f JOIN m ON f.snapshot_no = m.snapshot_no AND f.path = m.path) THEN 'replaced' ELSE 'deleted' END
     WHEN np = op THEN 'unchanged' WHEN len(np) = 1 AND len(op) = 1 THEN 'renamed' ELSE 'moved' END AS action,
-  coalesce(np[1], op[1]) AS primary_path, CAST(greatest(coalesce(len(np), 0) - 1, 0) AS INTEGER) AS n_duplicates FROM n FULL JOIN o USING (digest))"""
+  coalesce(np[1], op[1]) AS primary_path, CAST(greatest(coalesce(len(np), 0) - 1, 0) AS INTEGER) AS n_duplicates FROM n FULL JOIN o USING (snapshot_no, digest))"""
 _OWNED = f"""
 last AS (SELECT document_id, max(CAST(to_json({_PATHS}) AS VARCHAR)) AS p FROM sync_snapshots WHERE snapshot_no = (SELECT max(snapshot_no) FROM sync_snapshots) AND status IN ('indexed', 'stale') AND document_id IS NOT NULL GROUP BY document_id)"""
 _PLACED = f"""
@@ -284,6 +293,27 @@ def _blocks_sql(spans: str) -> str:
 _EVIDENCE = f"""
 evidence AS (SELECT answer_id, citation_id, chunk_id, source, page, text, 'E' || row_number() OVER (PARTITION BY answer_id ORDER BY citation_id) AS evidence_id FROM (
   SELECT *, row_number() OVER (PARTITION BY answer_id, chunk_id IS NULL, chunk_id, CASE WHEN chunk_id IS NULL THEN (text, source, page) END ORDER BY citation_id) AS n FROM {_CITED} WHERE answer_id IS NOT NULL) WHERE n = 1)"""
+_SP = r"[ \t\n\x{0b}\f\r]"
+# A link's bracket and what follows a citation are marked, so that neither needs a look around.
+_NO_LINK = rf"regexp_replace(regexp_replace(%s, '\]({_SP}*\()', chr(2) || '\1', 'g'), '\]', ']' || chr(1), 'g')"
+_CITE = r"(^|[^\p{L}\p{N}_])\[(E\p{Nd}+)\]"
+
+
+def _cited_sql(x: str) -> str:
+    return f"regexp_extract_all({_NO_LINK % x}, '{_CITE}', 2)"
+
+
+def _segments_sql(x: str) -> str:
+    return rf"string_split(regexp_replace(regexp_replace({x}, '([.!?]){_SP}+', '\1' || chr(3), 'g'), '\n+', chr(3), 'g'), chr(3))"
+
+
+_ANSWERED = rf"""
+shown AS (SELECT answer_id, citation_id, regexp_replace(coalesce(text, ''), '[.!?\s\x{{0b}}]+$', '') || ' [' || coalesce(evidence_id, 'E?') || '].' AS p FROM {_CITED} WHERE answer_id IS NOT NULL),
+answers AS (SELECT answer_id, string_agg(p, chr(10) ORDER BY citation_id, p) AS text FROM shown GROUP BY answer_id)"""
+_CLAIM = rf"regexp_replace(replace(regexp_replace({_NO_LINK % 'seg'}, '{_CITE}', '\1', 'g'), chr(1), ''), chr(2), ']', 'g')"
+_CLAIM = rf"regexp_replace(regexp_replace({_CLAIM}, '^{_SP}*(?:#{{1,6}}|[-+*>]|[0-9]+[.)]){_SP}+', ''), '\*\*|__|~~|`', '', 'g')"
+_CLAIM = rf"trim(regexp_replace(regexp_replace({_CLAIM}, '{_SP}+([.,;:!?])', '\1', 'g'), '{_WS}+', ' ', 'g'))"
+_FACT = r"(?i)\b(is|are|was|were|has|have|had|shows?|found|demonstrates?|reported|increased|decreased|improved|reduces?|reduced|uses?|used|includes?)\b"
 _CASES = f"""
 cases AS (SELECT label_id AS case_id, coalesce(relevant, false) AND source IS NOT NULL AS wanted, source, page FROM {_LABELS}),
 hits AS (SELECT answer_id AS case_id, row_number() OVER (PARTITION BY answer_id ORDER BY citation_id) AS rank, source, page FROM {_CITED} WHERE answer_id IS NOT NULL),
@@ -299,7 +329,7 @@ SELECT doc_id, CASE WHEN h IS NOT NULL THEN {_squeeze_sql("regexp_replace(regexp
   WHEN u IS NOT NULL THEN {_squeeze_sql("regexp_replace(regexp_replace(u, '<[^>]+>', '', 'g'), '[*_`#]+', '', 'g')")} ELSE stem END AS title_guess FROM t""",
     "content_digest": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "sync_plan": f"WITH {_PLAN} SELECT * FROM plan",
-    "sync_plan_counts": f"WITH {_PLAN} SELECT action, count(*) AS n, CAST(sum(n_duplicates) AS BIGINT) AS n_duplicates FROM plan GROUP BY action",
+    "sync_plan_counts": f"WITH {_PLAN} SELECT snapshot_no, action, count(*) AS n, CAST(sum(n_duplicates) AS BIGINT) AS n_duplicates FROM plan GROUP BY ALL",
     "committed_view": f"WITH {_OWNED} SELECT chunk_id AS id, document_id, coalesce(from_json(p, '[\"VARCHAR\"]')[1], source) AS source FROM {_STORED} JOIN last USING (document_id)",
     "obsolete_chunks": f"WITH {_OWNED} SELECT chunk_id AS id FROM {_STORED} WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM last)",
     "chunk_positions": rf"""SELECT chunk_id AS id, CASE WHEN page IS NOT NULL AND chunk_index IS NOT NULL THEN page WHEN p = page THEN p END AS at_page, CASE WHEN page IS NOT NULL AND chunk_index IS NOT NULL THEN chunk_index WHEN p = page THEN i END AS at_index FROM (
@@ -309,10 +339,33 @@ SELECT doc_id, CASE WHEN h IS NOT NULL THEN {_squeeze_sql("regexp_replace(regexp
     "span_containment": f"""WITH {_PLACED}, blocks AS ({_blocks_sql('(SELECT placed.* FROM placed JOIN cited USING (id))')})
 SELECT id, block FROM placed JOIN blocks b USING (document_id, page) WHERE b.start <= character_start AND character_end <= b."end" """,
     "evidence_dedupe_ids": f"WITH {_EVIDENCE} SELECT answer_id, citation_id, evidence_id FROM evidence",
-    "evidence_context": f"""WITH {_EVIDENCE}, c AS (SELECT answer_id, string_agg('[' || evidence_id || ']' || chr(10) || 'Source: ' || coalesce(source, 'unknown') || chr(10) || 'Page: ' || coalesce(CAST(page AS VARCHAR), 'unknown') || chr(10) || 'Content:' || chr(10) || coalesce(text, ''),
+    "evidence_context": f"""WITH {_EVIDENCE}, c AS (SELECT answer_id, string_agg('[' || evidence_id || ']' || chr(10) || 'Source: ' || coalesce(nullif(source, ''), 'Unknown document') || coalesce(chr(10) || 'Page: ' || CAST(page AS VARCHAR), '') || chr(10) || 'Content: ' || coalesce(text, ''),
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY CAST(substr(evidence_id, 2) AS INTEGER)) AS context FROM evidence GROUP BY answer_id) SELECT answer_id, CAST(strlen(context) AS INTEGER) AS n_bytes, md5(context) AS digest FROM c""",
     "evidence_references": f"""SELECT chunk_id AS id, label || CASE WHEN coalesce(source, '') <> '' AND source <> label THEN ' (' || source || ')' ELSE '' END || coalesce(', page ' || page, '') AS reference
 FROM (SELECT *, coalesce(nullif(title, ''), nullif(source, ''), 'Unknown document') AS label FROM {_STORED})""",
+    "extract_claims": rf"""WITH {_ANSWERED}, segs AS (SELECT answer_id, unnest({_segments_sql('text')}) AS seg, generate_subscripts({_segments_sql('text')}, 1) AS pos FROM answers),
+c AS (SELECT answer_id, pos, {_cited_sql('seg')} AS ids, {_CLAIM} AS claim FROM segs)
+SELECT answer_id, 'C' || row_number() OVER (PARTITION BY answer_id ORDER BY pos) AS claim_id, claim, array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ',') AS evidence_ids
+FROM c WHERE len(ids) > 0 AND regexp_matches(claim, '[\p{{L}}\p{{N}}_]')""",
+    "validate_citations": rf"""WITH {_EVIDENCE}, {_ANSWERED}, known AS (SELECT answer_id, list(evidence_id) AS k FROM evidence GROUP BY answer_id),
+c AS (SELECT answer_id, text, {_cited_sql('text')} AS cited, coalesce(k, []) AS k, regexp_extract_all(text, '(?i)\[(E\s*[0-9]+[^\]]*)\]', 1) AS likes,
+  regexp_extract_all(text, '(?i)(\[[^\]\n,]+,\s*(?:[^\]]+,\s*)?p\.\s*[0-9]+[^\]]*\])', 1) AS legacy FROM answers LEFT JOIN known USING (answer_id)),
+v AS (SELECT answer_id, len(cited) AS n_cited, len(list_filter(list_distinct(cited), lambda x: NOT list_contains(k, x))) AS n_unknown, len(list_filter(list_distinct(cited), lambda x: len(list_filter(cited, lambda y: y = x)) > 1)) AS n_repeated,
+  len(list_filter(likes, lambda x: NOT regexp_full_match(x, 'E[0-9]+'))) AS n_malformed, len(legacy) AS n_legacy FROM c)
+SELECT answer_id, n_cited::INTEGER AS n_cited, n_unknown::INTEGER AS n_unknown, n_repeated::INTEGER AS n_repeated, n_malformed::INTEGER AS n_malformed, n_cited > 0 AND n_unknown + n_malformed + n_legacy = 0 AS valid FROM v""",
+    "uncited_statements": rf"""SELECT doc_id, CAST(len(list_filter(list_transform({_segments_sql("coalesce(text, '')")}, lambda s: regexp_replace(s, '^[ \t#>*\-`]+|[ \t#>*\-`]+$', '', 'g')),
+  lambda s: s <> '' AND NOT regexp_matches(s, '^[\[|]|:$') AND NOT (regexp_matches(s, '(?i)\b(Evidence|References|Answer|Note|Not covered)\b') AND len(list_filter(string_split_regex(s, '{_WS}+'), lambda w: w <> '')) < 7)
+    AND regexp_matches(s, '{_FACT}') AND len({_cited_sql('s')}) = 0)) AS INTEGER) AS n_warnings FROM documents""",
+    "margin_signatures": rf"""WITH pages AS (SELECT document_id, page, string_agg(coalesce(text, ''), chr(10) ORDER BY page_id) AS text FROM {_PAGES} WHERE document_id IS NOT NULL AND page IS NOT NULL GROUP BY ALL),
+l AS (SELECT document_id, page, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT *, string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS ls FROM pages)),
+f AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no) AS from_top, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no DESC) AS from_bottom FROM l WHERE regexp_replace(line, '{_WS}+', '', 'g') <> ''),
+p AS (SELECT *, replace(lower({_squeeze_sql("regexp_replace(regexp_replace(line, '<[^>]+>', '', 'g'), '[*_`#]+', '', 'g')")}), 'ß', 'ss') AS plain FROM f WHERE from_top <= 2 OR from_bottom <= 2),
+g AS (SELECT *, {_squeeze_sql("regexp_replace(plain, '[{Nd}]+', '#', 'g')").replace("[{Nd}]", "[0-9]")} AS masked FROM p),
+s AS (SELECT *, CASE WHEN plain = '' THEN NULL WHEN regexp_full_match(plain, '(?:page\s*)?[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?') THEN '<page-number>' WHEN length(masked) <= 200 AND length(regexp_replace(masked, '[^\p{{L}}]', '', 'g')) >= 4 THEN masked END AS signature FROM g),
+c AS (SELECT document_id, place, signature, count(DISTINCT page) AS n_pages FROM (SELECT *, 'top' AS place FROM s WHERE from_top <= 2 UNION ALL SELECT *, 'bottom' FROM s WHERE from_bottom <= 2) WHERE signature IS NOT NULL GROUP BY ALL)
+SELECT document_id, place, signature, n_pages FROM c JOIN (SELECT document_id, count(*) AS n_all FROM pages GROUP BY document_id) USING (document_id) WHERE n_pages >= greatest(2, ceil(n_all * 0.3))""",
+    "bibliography_cut": rf"""SELECT doc_id, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^{_SP}*(?:#{{1,6}}{_SP}*)?(?:\*\*|__)?{_SP}*(?:[0-9]+[.)]?{_SP}*)?(?:references|bibliography|works cited){_SP}*(?:\*\*|__)?{_SP}*:?{_SP}*$(?s:.*)', ''),
+  '(?m)^{_SP}*(?:[-*]{_SP}*)?\[[0-9]{{1,4}}\]{_SP}+\p{{Lu}}(?s:.*)', '')) AS INTEGER) AS n_kept FROM documents""",
     "eval_recall_mrr": f"""WITH {_CASES} SELECT count(*) FILTER (wanted) AS retrieval_cases, round(count(*) FILTER (wanted AND n_matched > 0) / nullif(count(*) FILTER (wanted), 0), 4) AS recall,
   round(avg(coalesce(1.0 / first, 0.0)::DOUBLE) FILTER (wanted), 4) AS mrr, round(sum(n_hits - n_matched) FILTER (wanted) / nullif(sum(n_hits) FILTER (wanted), 0), 4) AS unmatched_fraction,
   count(*) FILTER (NOT wanted AND n_hits > 0) AS negative_cases_with_evidence, CAST(coalesce(sum(n_hits) FILTER (NOT wanted), 0) AS BIGINT) AS negative_evidence_blocks FROM joined""",

@@ -13,7 +13,7 @@ from marginalia.operators.chunks import chunk_position, latest_by, stored_chunks
 from marginalia.operators.dense import nearest
 from marginalia.operators.fusion import check_weights, query_budgets, reciprocal_rank_fusion, reserve_candidates, variant_weights
 from marginalia.operators.lexical import bm25
-from marginalia.operators.select import RetrievalPlan, by_threshold, cap_per_paper, choose_by_quota, covers, infer_plan, mmr
+from marginalia.operators.select import RetrievalPlan, by_threshold, cap_per_paper, covers, dimensions_of, missing_allocations, mmr, select_by_quota, task_of
 from marginalia.search import search
 
 
@@ -142,17 +142,21 @@ def row(i, paper, text, section="s"):
     return {"id": i, "paper": paper, "source": f"{paper}.pdf", "section": section, "text": text}
 
 
-def test_quotas():
+def test_quotas(spark):
     rows = [row("a1", "a", "latency is low"), row("a2", "a", "cost"), row("a3", "a", "latency again"), row("b1", "b", "cost of it")]
+    df = spark.createDataFrame([(1, i, *r.values()) for i, r in enumerate(rows)], "query_id int, rank int, id string, paper string, source string, section string, text string")
+    chosen = lambda *args, **more: [r.id for r in select_by_quota(df, *args, **more).orderBy("place").collect()]
     plan = RetrievalPlan("comparison", ("a.pdf", "b.pdf"), ("latency", "cost"))
-    chosen, record = choose_by_quota(rows, plan, 4, 2)
-    assert [r["id"] for r in chosen] == ["a1", "a2", "b1", "a3"] and {"paper": "b.pdf", "dimension": "latency", "reason": "no_relevant_evidence"} in record["missing_allocations"]
-    assert [r["id"] for r in choose_by_quota(rows, RetrievalPlan(), 4, 1)[0]] == ["a1", "b1"]
-    assert [r["id"] for r in choose_by_quota(rows, RetrievalPlan(), 2, 9, fits=lambda r: all(x["id"] != "a1" for x in r))[0]] == ["a2", "b1"]
-    assert choose_by_quota([], RetrievalPlan(), 3, 1)[0] == []
-    conflict = RetrievalPlan("conflict", (), (), (), ("improves",))
-    assert not covers(conflict, "", "It never improves. It falls.", "improves") and covers(conflict, "", "It falls. It improves.", "improves")
-    assert infer_plan("Compare A and B on cost, speed and size?").dimensions == ("cost", "speed", "size") and infer_plan("Do they disagree?").task == "conflict" and infer_plan("Give an overview").task == "summary"
+    assert chosen(plan, 4, 2) == ["a1", "a2", "b1", "a3"]
+    assert [tuple(r) for r in missing_allocations(df, plan).collect()] == [(1, "b.pdf", "latency")]
+    assert {tuple(r) for r in missing_allocations(df, RetrievalPlan("comparison", ("a.pdf", "c.pdf"))).collect()} == {(1, "c.pdf", None), (1, "c.pdf", "all")}
+    assert chosen(RetrievalPlan(), 4, 1) == ["a1", "b1"] and chosen(RetrievalPlan("summary"), 3, 1) == ["a1", "b1", "a2"]
+    assert chosen(RetrievalPlan(), 2, 9, fits=lambda r: all(x["id"] != "a1" for x in r)) == ["a2", "b1"]
+    assert select_by_quota(df.limit(0), RetrievalPlan(), 3, 1).collect() == []
+    said = lambda t: one(spark, covers(F.lit(t), F.lit("improves"), F.lit(True)))
+    assert not said("It never improves. It falls.") and said("It falls. It improves.")
+    assert one(spark, dimensions_of(F.lit("Compare A and B on cost, speed and size?"))) == ["cost", "speed", "size"] and one(spark, dimensions_of(F.lit("Tell me on what"))) == []
+    assert one(spark, task_of(F.lit("Do they disagree?"))) == "conflict" and one(spark, task_of(F.lit("Give an overview"))) == "summary"
 
 
 def test_latest_and_position(spark):

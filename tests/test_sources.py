@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.config import IndexConfig, RetrievalConfig, load
-from marginalia.operators.questions import correct, instruction, needs_scope, variants
+from marginalia.operators.questions import aliases, corrections, instruction, needs_scope, variants
 from marginalia.sources.labelled import golden_set, relevance_labels, write_report
 from marginalia.sources.library import delete_file, extract_pages, resolve, scan, store_upload, upload_name
 from marginalia.sources.store import Store, StoreError, next_version
@@ -131,10 +131,19 @@ def test_stream_restarts_without_doubles(spark, tmp_path):
     assert spark.read.parquet(f"{target}/batch=*").count() == 2
 
 
-def test_questions():
-    assert correct("explain the dimenson here", {"dimension": 9}) == "explain the dimension here" and correct("explain the Dimenson", {"dimension": 9}) == "explain the Dimenson" and correct("dimenson", {"dimension": 2}) == "dimenson"
-    assert correct("the dimenson", {"dimension": 9, "dimenson": 1}) == "the dimenson"
-    assert variants("What is RAG?", corrected="what is rag?", terminology={"RAG": "retrieval augmented generation"}) == ["What is RAG?", "What is RAG (retrieval augmented generation)?"]
-    assert len(variants("q", subqueries=["a", "b", "c"], most=9)) == 3
+def test_questions(spark):
+    asked = ["explain the dimenson here", "explain the Dimenson", "the dimensoin of the performence"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    known = lambda **n: spark.createDataFrame(list(n.items()), "term string, cf long")
+    fixed = lambda f: {r.query_id: r.text for r in corrections(q, f).collect()}
+    assert fixed(known(dimension=9, performance=7)) == {0: "explain the dimension here", 2: "the dimension of the performance"}
+    assert fixed(known(dimension=2)) == {} and fixed(known(dimension=9, dimenson=1)) == {2: "the dimension of the performence"}
+    q = spark.createDataFrame([(0, "What is RAG?"), (1, "Is Retrieval-Augmented  generation new, or RAGs?"), (2, "no name here")], "query_id int, text string")
+    named = aliases(q, spark.createDataFrame([("RAG", "retrieval augmented generation")], "acronym string, phrase string"))
+    assert {r.query_id: r.text for r in named.collect()} == {0: "What is RAG (retrieval augmented generation)?", 1: "Is Retrieval-Augmented  generation (RAG) new, or RAGs?"}
+    lower = spark.createDataFrame([(0, "what  is rag?")], "query_id int, text string")
+    assert [tuple(r) for r in variants(q.limit(1), corrected=lower, aliased=named).collect()] == [(0, 1, "What is RAG (retrieval augmented generation)?")]
+    planned = spark.createDataFrame([(0, t, i) for i, t in enumerate("abc")], "query_id int, text string, place int")
+    assert sorted(tuple(r) for r in variants(q.limit(1), subqueries=planned, aliased=named, most=9).collect()) == [(0, 1, "a"), (0, 2, "b")]
     assert needs_scope("What does this paper say") and not needs_scope("this paper", ["a.pdf"])
     assert instruction("BAAI/bge-small-en-v1.5") and not instruction("other") and not instruction("BAAI/bge-small-en-v1.5", "off")
