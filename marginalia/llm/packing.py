@@ -4,8 +4,8 @@ A container is first filled greedily with the largest item that still fits.  The
 its smallest item is taken out again if two unpacked items together fill the
 expanded gap more tightly; this repeats until it gains nothing.
 
-Items are dealt into blocks by a hash of their row number, each block a bounded
-number of tokens, and blocks are packed independently.  A block loses less than a
+Items are dealt into blocks by a hash of their key and size, each block a bounded
+number of tokens and rows, and blocks are packed independently.  A block loses less than a
 container's space at its end, a share that the block size keeps below a thousandth.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.runtime import Scratch
 
+ROWS_PER_BLOCK = 1_000_000  # at most about so many, also where they take no space
 CONTAINERS_PER_BLOCK = 2000
 _SHIFT = 32
 
@@ -62,7 +63,8 @@ class _Unpacked:
         return found
 
 
-def _fill(sizes: np.ndarray, capacity: int, swap: bool) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Container number of each item; sizes in 1..capacity.  The same sizes give the same containers."""
     container = np.zeros(len(sizes), dtype=np.int64)
     left, number = _Unpacked(sizes), 0
     while left.bits:
@@ -71,7 +73,7 @@ def _fill(sizes: np.ndarray, capacity: int, swap: bool) -> np.ndarray:
         while size := left.largest(gap):
             inside.append((size, left.take(size)))
             gap -= size
-        while swap and gap and left.bits:
+        while gap and left.bits:
             inside.sort(reverse=True)
             size, item = inside[-1]
             two = left.best_two(gap + size, size)
@@ -87,23 +89,9 @@ def _fill(sizes: np.ndarray, capacity: int, swap: bool) -> np.ndarray:
     return container
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container number of each item; sizes in 1..capacity.  The same sizes give the same containers.
-
-    Tighter containers now can leave large items without small partners for later.  Where the
-    exchanges don't reach the least possible number, the plain fill is made too and the better one kept.
-    """
-    best = _fill(sizes, capacity, True)
-    if len(sizes) and best.max() + 1 > -(-int(sizes.sum()) // capacity):
-        plain = _fill(sizes, capacity, False)
-        if plain.max() < best.max():
-            return plain
-    return best
-
-
 def _pack_block(capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_item")
+        table = table.sort_by([("_id", "ascending"), ("_size", "ascending"), ("_item", "ascending")])
         size = table["_size"].to_numpy().astype(np.int64)
         block = int(table["_block"][0].as_py())
         # Whole containers cut from oversized items come first, then packed items and remainders.
@@ -140,13 +128,15 @@ def fill_containers(df: DataFrame, key: str, size: Column, capacity: int, *, con
     remainder that is packed like any item; no other item is divided.  An item of
     size 0 (or null) is put along in a container of its block and takes no space.
     Each row is an item of its own, also where keys repeat or are null.  An empty
-    table gives no rows.  The sizes are written once to the shared folder.
+    table gives no rows.  The sizes are written once to the shared folder.  Containers depend on keys and sizes only.
     """
     scratch = Scratch(df.sparkSession, "pack")
-    # Row numbers are fixed by writing them: a re-run task can't number its rows anew.
-    items = scratch.write(df.select(F.col(key).alias("_id"), F.greatest(F.coalesce(size.cast("int"), F.lit(0)), F.lit(0)).alias("_size"), F.monotonically_increasing_id().alias("_item")), "sizes")
-    total = items.agg(F.sum(F.col("_size").cast("bigint"))).first()[0] or 0
-    blocks = max(1, round(total / (capacity * containers_per_block)))
-    blocked = items.withColumn("_block", F.pmod(F.xxhash64("_item"), F.lit(blocks)).cast("int"))
+    sizes = df.select(F.col(key).alias("_id"), F.greatest(F.coalesce(size.cast("int"), F.lit(0)), F.lit(0)).alias("_size"))
+    # Copies of a row are numbered, so an item is known by its content, however the rows lie in files and tasks.
+    copies = sizes.groupBy("_id", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    items = scratch.write(copies.select("_id", "_size", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_item")), "sizes")
+    total, rows = items.agg(F.coalesce(F.sum(F.col("_size").cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(1, round(total / (capacity * containers_per_block)), rows // ROWS_PER_BLOCK)
+    blocked = items.withColumn("_block", F.pmod(F.xxhash64("_id", "_size", "_item"), F.lit(blocks)).cast("int"))
     schema = f"_id {items.schema['_id'].dataType.simpleString()}, piece_index int, token_start int, token_end int, container_id bigint"
     return blocked.groupBy("_block").applyInArrow(_pack_block(capacity), schema).withColumnRenamed("_id", key)

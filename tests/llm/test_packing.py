@@ -62,3 +62,17 @@ def test_blocks(spark):
     used = out.groupBy("container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("u"))
     total, n, most = used.agg(F.sum("u"), F.count("u"), F.max("u")).first()
     assert out.count() == 3000 and most <= 100 and n <= total / 100 * 1.08 + 1  # hard sizes in very small blocks
+
+
+def test_the_layout_of_rows_changes_nothing(spark):
+    df = spark.range(2000).select((F.col("id") % 1900).alias("id"), (F.col("id") * 7919 % 97).cast("int").alias("n"))
+    lay = lambda d: sorted(tuple(r) for r in fill_containers(d, "id", F.col("n"), 100, containers_per_block=100).collect())
+    assert lay(df) == lay(df.repartition(7).orderBy(F.desc("n")))
+
+
+def test_rows_without_tokens_are_spread(spark, monkeypatch):
+    import marginalia.llm.packing as packing
+
+    monkeypatch.setattr(packing, "ROWS_PER_BLOCK", 100)
+    out = fill_containers(spark.range(1000), "id", F.lit(0), 100)
+    assert out.count() == 1000 and out.select("container_id").distinct().count() == 10
