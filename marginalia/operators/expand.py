@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,14 +25,17 @@ def neighbours(anchors: DataFrame, rows: DataFrame, document: list[str], radius:
     return found.withColumn("distance", F.abs(F.col("position") - F.col("_at"))).drop("_at")
 
 
-def merge_intervals(rows: DataFrame, group: list[str], *, joins: Column | None = None) -> DataFrame:
+def merge_intervals(rows: DataFrame, group: list[str], *, joins: Column | None = None, carry: str | None = None) -> DataFrame:
     """(group, ``block``, ``start``, ``end``, ``ids``): intervals that overlap or touch in one block.
 
-    ``joins`` tells when an interval behind a gap joins the one before all the same; it may use ``_reach``, the end so far.
+    ``joins`` tells when an interval behind a gap joins the one before all the same; it may use ``_reach``, the end so far, and
+    ``_carried``, the value of the column ``carry`` where that end is.
     """
     order = W.partitionBy(*group).orderBy("start", "end", "id")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    seen = rows.withColumn("_reach", reach)
+    tail = F.struct("end", F.col(carry).alias("carried")) if carry else F.struct("end")
+    reach = F.max(tail).over(order.rowsBetween(W.unboundedPreceding, -1))
+    seen = rows.withColumn("_tail", reach).withColumn("_reach", F.col("_tail.end"))
+    seen = seen.withColumn("_carried", F.col("_tail.carried")) if carry else seen
     opens = F.col("_reach").isNull() | ~((F.col("start") <= F.col("_reach")) | (F.lit(False) if joins is None else F.coalesce(joins, F.lit(False))))
     blocks = seen.withColumn("block", F.sum(opens.cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return blocks.groupBy(*group, "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("id")).alias("ids"))
@@ -50,17 +51,3 @@ def overlapping(paragraphs: DataFrame, blocks: DataFrame, group: list[str]) -> D
     """Paragraphs that share a character with a block."""
     b = blocks.select(*group, "block", F.col("start").alias("_from"), F.col("end").alias("_to"))
     return paragraphs.join(b, group).where((F.col("start") < F.col("_to")) & (F.col("end") > F.col("_from"))).drop("_from", "_to")
-
-
-def admit(neighbours_: list[dict], anchors: list[dict], fits: Callable[[list[dict]], bool]) -> list[dict]:
-    """Adds neighbours one by one, nearest anchor rank first, as long as all budgets hold; anchors that don't fit are an error.
-
-    For the few rows of one query, on the driver: whether a row fits depends on those admitted before.
-    """
-    if not fits(anchors):
-        raise ValueError("the chosen anchors alone exceed the context budget")
-    chosen = list(anchors)
-    for r in sorted(neighbours_, key=lambda r: (r["anchor_rank"], r["distance"], r["id"], r["start"], r["end"])):
-        if r["id"] not in {c["id"] for c in chosen} and fits([*chosen, r]):
-            chosen.append(r)
-    return chosen

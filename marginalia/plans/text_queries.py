@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.display import plain_text, without_bibliography
+from marginalia.operators.context import blocks, candidate_spans
 from marginalia.operators.chunks import chunk_position, latest_by, stored_chunks
 from marginalia.operators.evaluation import label_problems, leaked_queries, locator_hits, paper_coverage, retrieval_metrics, threshold_metrics
 from marginalia.operators.evidence import claims, context_blocks, coverage_warnings, number_evidence, reference, validate
@@ -141,6 +142,17 @@ def span_containment(spark: SparkSession, d: str) -> DataFrame:
     return contained(spans, merge_intervals(cited, ["document_id", "page"]), ["document_id", "page"]).select("id", "block")
 
 
+def expanded_context(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks around the chunks that each answer cites: with the next chunks of their section, joined over gaps of up to two characters."""
+    stored = stored_chunks(table(spark, d, "sync_chunks")).where("document_id IS NOT NULL AND page IS NOT NULL AND character_start IS NOT NULL AND character_end IS NOT NULL")
+    units = stored.select("id", "document_id", "page", F.col("character_start").alias("start"), F.col("character_end").alias("end"), "section_id")
+    c = latest_by(table(spark, d, "citations").select("citation_id", "answer_id", "chunk_id", "loaded_at"), "citation_id").where("answer_id IS NOT NULL AND chunk_id IS NOT NULL")
+    first = c.groupBy(F.col("answer_id").alias("query_id"), F.col("chunk_id").alias("id")).agg(F.min("citation_id").alias("rank"))
+    anchors = first.join(units, "id")
+    joins = (F.col("start") - F.col("_reach") <= 2) & F.col("section_id").eqNullSafe(F.col("_carried"))
+    return blocks(anchors, candidate_spans(anchors, units, 1), joins).select(F.col("query_id").alias("answer_id"), "block_rank", "document_id", "page", "start", "end", "n_anchors", "kind", F.array_min("ranks").alias("best_anchor"))
+
+
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     c = latest_by(table(spark, d, "citations").select("citation_id", "answer_id", "chunk_id", "source", "page", "text", "loaded_at"), "citation_id").where("answer_id IS NOT NULL")
     return number_evidence(c.withColumnRenamed("chunk_id", "id"), "answer_id", [F.asc("citation_id")])
@@ -239,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         margin_signatures, strip_page_margins, title_guess, section_carry, sentence_counts, page_passages, content_digest, sync_plan, sync_plan_counts, committed_view, obsolete_chunks, chunk_positions,
-        neighbour_band, interval_merge, span_containment, evidence_dedupe_ids, evidence_context, evidence_references, extract_claims, validate_citations, uncited_statements,
+        neighbour_band, interval_merge, span_containment, expanded_context, evidence_dedupe_ids, evidence_context, evidence_references, extract_claims, validate_citations, uncited_statements,
         eval_recall_mrr, eval_paper_coverage, threshold_table, label_checks, leakage_check, display_text, bibliography_cut, acronym_definitions,
     )
 }
@@ -338,6 +350,18 @@ SELECT doc_id, CASE WHEN h IS NOT NULL THEN {_squeeze_sql("regexp_replace(regexp
     "interval_merge": f"WITH {_PLACED} {_blocks_sql('placed')}",
     "span_containment": f"""WITH {_PLACED}, blocks AS ({_blocks_sql('(SELECT placed.* FROM placed JOIN cited USING (id))')})
 SELECT id, block FROM placed JOIN blocks b USING (document_id, page) WHERE b.start <= character_start AND character_end <= b."end" """,
+    "expanded_context": f"""WITH units AS (SELECT chunk_id AS id, document_id, page, character_start AS s, character_end AS e, section_id, row_number() OVER (PARTITION BY document_id ORDER BY page, character_start, character_end, chunk_id) AS position
+  FROM {_STORED} WHERE document_id IS NOT NULL AND page IS NOT NULL AND character_start IS NOT NULL AND character_end IS NOT NULL),
+anchors AS (SELECT answer_id AS query_id, u.id, min(citation_id) AS rank, u.document_id, u.page, s, e, section_id FROM {_CITED} c JOIN units u ON u.id = c.chunk_id WHERE answer_id IS NOT NULL GROUP BY ALL),
+touched AS (SELECT a.query_id, a.rank, a.document_id, a.section_id, min(position) AS low, max(position) AS high FROM anchors a JOIN units u ON u.document_id = a.document_id AND u.page = a.page AND u.s < a.e AND u.e > a.s GROUP BY ALL),
+spans AS (SELECT query_id, rank, u.document_id, page, s, e, u.section_id FROM touched t JOIN units u ON u.document_id = t.document_id AND position BETWEEN low - 1 AND high + 1 AND u.section_id IS NOT DISTINCT FROM t.section_id),
+al AS (SELECT query_id, rank, document_id, page, s, e, section_id FROM anchors UNION ALL SELECT * FROM spans),
+r AS (SELECT *, max(struct_pack(e := e, x := coalesce(section_id, -2147483648))) OVER (PARTITION BY query_id, document_id, page ORDER BY s, e, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM al),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR NOT (s <= reach.e OR (s - reach.e <= 2 AND coalesce(section_id, -2147483648) = reach.x)) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, document_id, page ORDER BY s, e, rank ROWS UNBOUNDED PRECEDING) AS block FROM r),
+m AS (SELECT query_id, document_id, page, block, min(s) AS s, max(e) AS e, min(rank) AS best_anchor FROM b GROUP BY ALL),
+h AS (SELECT m.*, count(a.id) FILTER (a.s >= m.s AND a.e <= m.e) AS n_anchors, coalesce(bool_or(a.s = m.s AND a.e = m.e), false) AS exact FROM m LEFT JOIN anchors a USING (query_id, document_id, page) GROUP BY ALL)
+SELECT query_id AS answer_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best_anchor, page, s, document_id) AS INTEGER) AS block_rank, document_id, page, s AS start, e AS "end", n_anchors,
+  CASE WHEN n_anchors = 1 AND exact THEN 'anchor' WHEN n_anchors > 0 THEN 'anchor_context' ELSE 'expansion' END AS kind, best_anchor FROM h""",
     "evidence_dedupe_ids": f"WITH {_EVIDENCE} SELECT answer_id, citation_id, evidence_id FROM evidence",
     "evidence_context": f"""WITH {_EVIDENCE}, c AS (SELECT answer_id, string_agg('[' || evidence_id || ']' || chr(10) || 'Source: ' || coalesce(nullif(source, ''), 'Unknown document') || coalesce(chr(10) || 'Page: ' || CAST(page AS VARCHAR), '') || chr(10) || 'Content: ' || coalesce(text, ''),
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY CAST(substr(evidence_id, 2) AS INTEGER)) AS context FROM evidence GROUP BY answer_id) SELECT answer_id, CAST(strlen(context) AS INTEGER) AS n_bytes, md5(context) AS digest FROM c""",

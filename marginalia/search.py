@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.config import RetrievalConfig
+from marginalia.config import ContextConfig, RetrievalConfig
 from marginalia.functions.terms import terms
+from marginalia.operators.context import expand_context, utf8_bytes
 from marginalia.operators.fusion import budget, reciprocal_rank_fusion, reserve_candidates
 from marginalia.operators.lexical import bm25
 from marginalia.operators.questions import ONE_PAPER
@@ -81,3 +82,15 @@ def search(
     ordered = scratch.write(kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*rerank_order()))), "scored")
     picks = mmr(ordered.withColumn("terms", F.array_distinct(terms(F.col("text")))), config.final_results, config.mmr_lambda, config.max_chunks_per_paper)
     return picks.join(ordered.drop("place"), ["query_id", "id"]).select("query_id", "place", "id", "source", "page", "text", "rrf_score", "reranker_score")
+
+
+def search_with_context(
+    questions: DataFrame, chunks: DataFrame, pages: DataFrame, paragraphs: DataFrame, config: RetrievalConfig, context: ContextConfig, *, count: Callable[[str], int] = utf8_bytes, fixed_tokens: int = 0, **options: object
+) -> DataFrame:
+    """:func:`search`, and around the chosen chunks what :func:`expand_context` lets in: blocks of page text, the best anchor's first.
+
+    ``chunks`` also has document_id, character_start, character_end and section_id; ``options`` go to the search.
+    """
+    places = chunks.select("id", "document_id", F.col("character_start").alias("start"), F.col("character_end").alias("end"), "section_id")
+    anchors = search(questions, chunks, config, **options).select("query_id", F.col("place").alias("rank"), "id", "page").join(places, "id")
+    return expand_context(anchors, pages, paragraphs, questions, context, count=count, fixed_tokens=fixed_tokens)

@@ -14,7 +14,7 @@ from marginalia.operators.dense import nearest
 from marginalia.operators.fusion import check_weights, query_budgets, reciprocal_rank_fusion, reserve_candidates, variant_weights
 from marginalia.operators.lexical import bm25
 from marginalia.operators.select import RetrievalPlan, by_threshold, cap_per_paper, covers, dimensions_of, missing_allocations, mmr, select_by_quota, task_of
-from marginalia.search import search
+from marginalia.search import search, search_with_context
 
 
 def one(spark, c):
@@ -177,3 +177,22 @@ def test_whole_search(spark):
     assert {r.id for r in search(ask, chunks, RetrievalConfig(mode="hybrid")).collect()} == {"c0", "c2"}
     with pytest.raises(ValueError):
         search(ask, chunks, RetrievalConfig(mode="dense"))
+
+
+def test_search_forms_scope_and_context(spark):
+    from marginalia.config import ContextConfig, RetrievalConfig
+
+    text = "River floods in spring.\n\nLakes freeze in winter.\n\nRivers dry out."
+    spans = [(text.index(t), text.index(t) + len(t), t) for t in text.split("\n\n")]
+    chunks = spark.createDataFrame([(f"{d}{i}", d, f"{d}.pdf", d, 1, t, a, b, 1) for d in "ab" for i, (a, b, t) in enumerate(spans)], "id string, paper string, source string, document_id string, page int, text string, character_start int, character_end int, section_id int")
+    asked = spark.createDataFrame([(1, "when do rivers flood", "a"), (2, "lakes in this paper", None), (3, "lakes in this paper", "b")], "query_id int, text string, scope string")
+    config = RetrievalConfig(final_results=1, reranker_min_score=0.0)
+    found = search(asked, chunks, config)
+    assert {(r.query_id, r.id) for r in found.collect()} <= {(1, "a0"), (1, "a2"), (3, "b1")} and {r.query_id for r in found.collect()} == {1, 3}
+    forms = spark.createDataFrame([(1, 1, "lakes freeze")], "query_id int, variant int, text string")
+    more = search(asked.where("query_id = 1"), chunks, RetrievalConfig(mode="hybrid", final_results=9, max_chunks_per_paper=9), variants=forms).collect()
+    assert {r.id for r in more} == {"a0", "a1", "a2"}
+    pages = spark.createDataFrame([(d, 1, text) for d in "ab"], "document_id string, page int, text string")
+    paragraphs_ = chunks.select("document_id", "page", F.col("character_start").alias("start"), F.col("character_end").alias("end"), "section_id")
+    blocks = search_with_context(asked.where("query_id = 3"), chunks, pages, paragraphs_, config, ContextConfig()).collect()
+    assert [(r.document_id, r.text, r.kind) for r in blocks] == [("b", text, "anchor_context")]

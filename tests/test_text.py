@@ -3,11 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.config import ContextConfig
 from marginalia.functions.display import excerpt, plain_text, without_bibliography
 from marginalia.functions.passages import paragraphs, passages, sentences
 from marginalia.operators.evaluation import label_problems, leaked_queries, locator_hits, paper_coverage, retrieval_metrics, threshold_metrics
 from marginalia.operators.evidence import claims, coverage_warnings, number_evidence, reference, validate
-from marginalia.operators.expand import admit, contained, merge_intervals, neighbours, number_paragraphs, overlapping
+from marginalia.operators.context import expand_context
+from marginalia.operators.expand import contained, merge_intervals, neighbours, number_paragraphs, overlapping
 from marginalia.operators.pages import carry_sections, guess_title, margin_signature, paragraph_rows, passage_rows, sentence_rows, strip_margins
 from marginalia.operators.sync import available, check_deletions, committed, obsolete, plan_sync
 
@@ -97,11 +99,34 @@ def test_intervals(spark):
     placed = number_paragraphs(spans.withColumn("section_id", F.lit(1)), ["doc"], ["start"])
     near = neighbours(placed.where("id = 'b'"), placed.select("doc", "position", "id", "section_id"), ["doc"], 1, same_section=True)
     assert sorted((r.id, r.distance) for r in near.collect()) == [("a", 1), ("c", 1)]
-    fits = lambda rows: sum(r["end"] - r["start"] for r in rows) <= 10
-    r = lambda i, rank, d, n: {"id": i, "anchor_rank": rank, "distance": d, "start": 0, "end": n}
-    assert [x["id"] for x in admit([r("far", 1, 2, 2), r("big", 1, 1, 9), r("near", 1, 1, 3)], [r("a", 1, 0, 4)], fits)] == ["a", "near", "far"]
-    with pytest.raises(ValueError):
-        admit([], [r("a", 1, 0, 99)], fits)
+
+
+def test_context_within_budgets(spark):
+    texts = {1: "# A\n\nAlpha one.\n\nBeta two.\n\nGamma three.", 2: "Delta four.\n\n# B\n\nEpsilon five."}
+    pages = spark.createDataFrame([("d", p, t) for p, t in texts.items()], "document_id string, page int, text string")
+    units, at = [], {}
+    section = 0
+    for p, t in texts.items():
+        for i, part in enumerate(t.split("\n\n")):
+            section += part.startswith("#")
+            a = t.index(part)
+            at[part] = (p, a, a + len(part), section)
+            units.append(("d", p, i, a, a + len(part), section))
+    paragraphs_ = spark.createDataFrame(units, "document_id string, page int, paragraph int, start int, end int, section_id int")
+    schema = "query_id int, rank int, id string, document_id string, page int, start int, end int, section_id int"
+    anchors = spark.createDataFrame([(1, 1, "x", "d", *at["Gamma three."]), (1, 2, "y", "d", *at["Alpha one."]), (1, 3, "x", "d", *at["Gamma three."])], schema)
+    asked = spark.createDataFrame([(1, "why")], "query_id int, text string")
+    run = lambda **c: [(r.page, r.text, r.kind, list(r.ranks)) for r in expand_context(anchors, pages, paragraphs_, asked, ContextConfig(**c)).orderBy("block_rank").collect()]
+    # The whole first page in one block, over blank gaps; the next page's paragraph of the same section; not the next section.
+    assert run() == [(1, texts[1], "anchor_context", [1, 2]), (2, "Delta four.", "expansion", [1])]
+    # Anchors only, the better one first.
+    assert run(paragraphs=0) == run(expansion_tokens=0) == [(1, "Gamma three.", "anchor", [1]), (1, "Alpha one.", "anchor", [2])]
+    # Beta joins both anchors in one block, which needs fewer tokens; the next page doesn't fit any more.
+    assert run(expansion_tokens=1) == [(1, texts[1], "anchor_context", [1, 2])]
+    with pytest.raises(Exception, match="BudgetExceeded"):
+        run(budget_tokens=10)
+    assert expand_context(anchors.limit(0), pages, paragraphs_, asked, ContextConfig()).collect() == []
+
 
 
 def test_sync_plan(spark):
