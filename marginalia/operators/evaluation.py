@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KINDS = ("relevant", "topical_negative", "out_of_corpus")
@@ -87,6 +88,120 @@ def leaked_queries(labels: DataFrame, split: str = "split", query: str = "query"
     return labels.where(F.col(split).isNotNull()).withColumn("question", q).where("question <> ''").groupBy("question").agg(F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
 
 
-def first_rank(marked: DataFrame) -> DataFrame:
-    order = W.partitionBy("case_id").orderBy("rank")
-    return marked.where("matched").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("case_id", (F.lit(1.0) / F.col("rank")).alias("reciprocal_rank"))
+def kinds_per_split(labels: DataFrame) -> DataFrame:
+    """(split, kind): kinds of which a split that is used has no label; calibration needs all three in both."""
+    have = labels.where("split IS NOT NULL AND kind IS NOT NULL").select("split", "kind").distinct()
+    wanted = have.select("split").distinct().withColumn("kind", F.explode(F.array(*(F.lit(k) for k in KINDS))))
+    return wanted.join(have, ["split", "kind"], "left_anti")
+
+
+def locator_metrics(expected: DataFrame, hits: DataFrame, k: int | None = None) -> DataFrame:
+    """One row over anchors: locator precision and recall, the share of cases with any hit on an expected page, and their mean reciprocal rank.
+
+    ``expected``: case_id, source, page, id, text_contains; ``hits``: case_id, rank, id, source, page, text, of which the first ``k`` count.
+    """
+    hits = hits if k is None else hits.where(F.col("rank") <= k)
+    marked = locator_hits(hits, expected)
+    precision = marked.agg(rate(F.count(F.when(F.col("matched"), 1)), F.count(F.lit(1))).alias("locator_precision"))
+    h, want = hits.alias("h"), expected.alias("w")
+    fits = (F.col("w.id").isNull() | (F.col("h.id") == F.col("w.id"))) & (F.col("text_contains").isNull() | F.contains(F.col("h.text"), F.col("text_contains")))
+    met = want.join(h, (F.col("w.case_id") == F.col("h.case_id")) & (F.col("w.source") == F.col("h.source")) & F.col("w.page").eqNullSafe(F.col("h.page")) & fits, "left_semi")
+    recall = expected.agg(F.count(F.lit(1)).alias("_n")).crossJoin(met.agg(F.count(F.lit(1)).alias("_met"))).select(rate(F.col("_met"), F.col("_n")).alias("locator_recall"))
+    best = marked.where("matched").groupBy("case_id").agg(F.min("rank").alias("first"))
+    cases = expected.select("case_id").distinct().join(best, "case_id", "left")
+    pages = cases.agg(rate(F.count("first"), F.count(F.lit(1))).alias("page_recall"), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
+    return precision.crossJoin(recall).crossJoin(pages)  # one row each
+
+
+def dimension_coverage(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """(source, dimension, expected, retrieved, recall): expected locators with a dimension, and those that some hit of their case meets."""
+    want = expected.where("dimension IS NOT NULL")
+    at = hits.select("case_id", "source", "page").distinct().withColumn("_met", F.lit(1))
+    met = want.join(at.withColumnRenamed("page", "_page"), ["case_id", "source"], "left").withColumn("_met", F.when(F.col("page").eqNullSafe(F.col("_page")), F.col("_met")))
+    each = met.groupBy("case_id", "source", "page", "dimension").agg(F.max("_met").alias("_met"))
+    out = each.groupBy("source", "dimension").agg(F.count(F.lit(1)).alias("expected"), F.count("_met").alias("retrieved"))
+    return out.withColumn("recall", rate(F.col("retrieved"), F.col("expected")))
+
+
+def generation_metrics(cases: DataFrame, cited: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row on generated answers.
+
+    ``cases``: case_id, expected and actual (answered, abstained or validation_failed; null where generation failed), references_valid, support,
+    model_calls, recovery_rounds, recovery_success.  ``cited``: case_id, source, page of the evidence of answered cases; ``expected`` as for
+    :func:`locator_hits`.
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    wants, declines = F.col("expected") == "answered", F.col("expected") == "abstained"
+    answered = F.coalesce(F.col("actual") == "answered", F.lit(False))
+    right = F.coalesce(F.col("actual") == F.col("expected"), F.lit(False))
+    valid = answered & F.coalesce("references_valid", F.lit(False))
+    hits = cited.withColumn("rank", F.monotonically_increasing_id()).withColumn("id", F.lit(None).cast("string")).withColumn("text", F.lit(None).cast("string"))
+    marked = locator_hits(hits, expected).agg(rate(n(F.col("matched")), F.count(F.lit(1))).alias("citation_locator_precision"))
+    row = cases.agg(
+        F.count(F.lit(1)).alias("generation_cases"), n(F.col("actual").isNull()).alias("generation_failures"), rate(n(right), F.count(F.lit(1))).alias("outcome_accuracy"),
+        rate(n(wants & valid & F.coalesce(F.col("support") == "passed", F.lit(False))), n(wants)).alias("supported_answer_rate"),
+        n(wants & F.coalesce(F.col("actual") == "abstained", F.lit(False))).alias("false_abstentions"), n(declines & answered).alias("false_answers"),
+        rate(n(declines & right), n(declines)).alias("abstention_correctness"), rate(n(valid), n(wants)).alias("citation_valid_answer_rate"),
+        F.coalesce(F.sum("model_calls"), F.lit(0)).alias("model_calls"), F.coalesce(F.sum("recovery_rounds"), F.lit(0)).alias("recovery_attempts"),
+        rate(F.count(F.when(F.col("recovery_success"), 1)), F.coalesce(F.sum("recovery_rounds"), F.lit(0))).alias("recovery_success_rate"),
+    )
+    return row.crossJoin(marked)  # one row each
+
+
+# --- calibration -------------------------------------------------------------------------------
+
+
+def score_contract(model: str, revision: str | None, transform: str, activation: str) -> dict:
+    """What a reranker's scores mean: thresholds hold only for scores with the same model, revision and scale."""
+    if transform not in ("model-default", "raw", "sigmoid"):
+        raise ValueError("the transform must be model-default, raw or sigmoid")
+    effective = activation if transform == "model-default" else transform
+    bounded = effective.lower() == "sigmoid"
+    scale = "[0,1]" if bounded else "unbounded logits" if transform == "raw" else "model-defined"
+    return {"model": model, "revision": revision, "transformation": transform, "effective_activation": effective, "score_scale": scale, "score_is_probability": False}
+
+
+def checked_threshold(contract: dict, threshold: float) -> float:
+    if not -float("inf") < threshold < float("inf"):
+        raise ValueError("the threshold must be finite")
+    if contract["effective_activation"].lower() == "sigmoid" and not 0 <= threshold <= 1:
+        raise ValueError("thresholds of sigmoid scores lie between 0 and 1")
+    return threshold
+
+
+def effective_threshold(contract: dict, baseline: float, calibration: dict | None = None) -> float:
+    """The baseline, or the threshold a calibration selected, if that was made for the same scores, by people, and evaluated on both splits."""
+    if calibration is None:
+        return checked_threshold(contract, baseline)
+    if calibration.get("status") != "human-reviewed" or not calibration.get("held_out"):
+        raise ValueError("a calibration needs human-reviewed labels and held-out results")
+    differing = [k for k in ("model", "revision", "transformation", "effective_activation") if calibration.get("score_contract", {}).get(k) != contract[k]]
+    if differing or contract["revision"] is None:
+        raise ValueError(f"the calibration is for other scores: {', '.join(differing) or 'the revision is unknown'}")
+    chosen = float(calibration["selected_threshold"])
+    if any(chosen not in [r["threshold"] for r in calibration[split]] for split in ("calibration", "held_out")):
+        raise ValueError("the selected threshold wasn't evaluated")
+    return checked_threshold(contract, chosen)
+
+
+def calibrate(labels: DataFrame, thresholds: list[float], selected: float, score: Callable[[Column, Column], Column], contract: dict, snapshot: str | None = None) -> dict:
+    """A calibration record: all thresholds measured on both splits; the selected one is the operator's choice, never derived from held-out labels.
+
+    Labels that can't be used (:func:`label_problems`, a question in both splits, a kind missing in a split, a score that isn't finite) are an error.
+    """
+    if selected not in [float(t) for t in thresholds]:
+        raise ValueError("the selected threshold must be among the candidates")
+    labels = labels.where(F.col("split").isin("calibration", "held_out"))
+    bad = {r["problem"]: r["n"] for r in label_problems(labels).where("n > 0").collect()}
+    if bad:
+        raise ValueError(f"labels can't be used: {bad}")
+    if leaked_queries(labels).limit(1).collect():
+        raise ValueError("questions in both splits")
+    if labels.select("split").distinct().count() < 2 or kinds_per_split(labels).limit(1).collect():
+        raise ValueError("both splits need labels of every kind")
+    scored = labels.withColumn("score", score(F.col("query"), F.col("passage")))
+    if scored.where(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))).limit(1).collect():
+        raise ValueError("a score isn't finite")
+    measured = threshold_metrics(scored, thresholds, ["split"]).orderBy("threshold").collect()  # a row a split and threshold
+    rows = {split: [{k: v for k, v in r.asDict().items() if k != "split"} for r in measured if r["split"] == split] for split in ("calibration", "held_out")}
+    return {"status": "human-reviewed", "score_contract": contract, "snapshot_revision": snapshot, "selected_threshold": checked_threshold(contract, selected), **rows}

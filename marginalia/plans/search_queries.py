@@ -13,7 +13,8 @@ from marginalia.operators.dense import nearest
 from marginalia.operators.fusion import reciprocal_rank_fusion, reserve_candidates, variant_weights
 from marginalia.operators.lexical import bm25, postings, term_frequencies
 from marginalia.operators.rerank import term_overlap
-from marginalia.operators.select import by_threshold, cap_per_paper, mmr, rerank_order, task_of
+from marginalia.operators.overview import overview_passages
+from marginalia.operators.select import RetrievalPlan, by_threshold, cap_per_paper, mmr, rerank_order, select_by_quota, task_of
 from marginalia.plans.tables import table
 from marginalia.search import search
 
@@ -131,6 +132,17 @@ def title_overlap(spark: SparkSession, d: str) -> DataFrame:
     return shared.withColumn("_most", F.max("n_shared").over(W.partitionBy("query_id"))).where("n_shared = _most").drop("_most")
 
 
+def quota_select(spark: SparkSession, d: str) -> DataFrame:
+    """Of all citations of an answer eight, in turn over the papers cited."""
+    c = _candidates(spark, d).withColumns({"source": F.col("paper"), "section": F.lit(None).cast("string")})
+    return select_by_quota(c, RetrievalPlan("comparison"), 8, 2)
+
+
+def overview_select(spark: SparkSession, d: str) -> DataFrame:
+    """For each paper the passages that stand for it."""
+    return overview_passages(_chunks(spark, d))
+
+
 def infer_task(spark: SparkSession, d: str) -> DataFrame:
     labels = latest_by(table(spark, d, "relevance_labels_to_review"), "label_id")
     return labels.groupBy(task_of(F.coalesce("query", F.lit(""))).alias("task")).agg(F.count(F.lit(1)).alias("n"))
@@ -166,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, term_doc_freq, bm25_topk, bm25_scoped, dense_topk, dense_scoped, rrf_hybrid, rrf_weighted_variants, rerank_reserve, rerank_pairs,
-        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, infer_task, similarity_to_chunk, hybrid_search, lexical_search,
+        threshold_and_paper_cap, rejected_candidates, mmr_select, title_overlap, quota_select, overview_select, infer_task, similarity_to_chunk, hybrid_search, lexical_search,
     )
 }
 
@@ -260,6 +272,7 @@ able AS (SELECT * FROM scored_pairs WHERE s >= 0.01), {_mmr_sql("able", 5, 0.75,
 SELECT query_id, place, id, source, page, rrf_score, round(s, 6) AS reranker_score FROM picked JOIN able USING (query_id, id)"""
 
 
+_CLAIM = r"(?i)\b(?:we (?:propose|present|introduce|provide|review|survey|identify|discuss|examine|evaluate|conclude)|this (?:paper|article|survey|work) (?:proposes|presents|introduces|provides|reviews|surveys|discusses|examines|evaluates)|our contributions?)\b"
 _SMALL = "['a','an','and','in','of','the','to','this','paper']"
 
 SQL = {
@@ -297,6 +310,17 @@ SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank
 w AS (SELECT paper, unnest(list_filter(list_distinct({terms_sql('title')}), lambda x: NOT list_contains({_SMALL}, x))) AS term FROM (SELECT paper, arg_min(title, id) AS title FROM chunks GROUP BY paper)),
 q AS (SELECT query_id, unnest(list_filter(list_distinct({terms_sql('text')}), lambda x: NOT list_contains({_SMALL}, x))) AS term FROM asked)
 SELECT * FROM (SELECT query_id, paper, count(*) AS n_shared FROM q JOIN w USING (term) GROUP BY ALL) QUALIFY n_shared = max(n_shared) OVER (PARTITION BY query_id)""",
+    "quota_select": f"""WITH {_CANDIDATES}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, paper) AS turn FROM (SELECT query_id, paper, min(rank) AS best FROM ranked GROUP BY ALL)),
+t AS (SELECT query_id, id, rank, turn, row_number() OVER (PARTITION BY query_id, paper ORDER BY rank) AS nth FROM ranked JOIN p USING (query_id, paper))
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY nth, turn) AS INTEGER) AS place FROM t QUALIFY place <= 8""",
+    "overview_select": rf"""WITH {_CHUNK_CTE}, c AS (SELECT ch.*, s.chunk_index, coalesce(s.section, 'Untitled section') AS section, min(ch.page) OVER (PARTITION BY paper) AS first FROM chunks ch JOIN {latest_sql("sync_chunks", "chunk_id")} s ON s.chunk_id = ch.id WHERE ch.page IS NOT NULL),
+said AS (SELECT *, len(regexp_extract_all(text, '{_CLAIM}')) AS n_said, length(text) - length(replace(text, '@', '')) AS n_at FROM c),
+o AS (SELECT paper, id, row_number() OVER (PARTITION BY paper ORDER BY n_said DESC, n_at, page, chunk_index NULLS FIRST, id) AS n FROM said WHERE page = first AND length(text) >= 120 AND n_said > 0),
+h AS (SELECT paper, id, place, row_number() OVER (PARTITION BY paper, place ORDER BY page, chunk_index NULLS FIRST, id) AS n FROM c, (VALUES (2, 'abstract'), (3, 'contribution'), (4, 'conclusion'), (5, 'introduction')) AS v(place, name)
+  WHERE length(text) >= 120 AND contains(lower(regexp_replace(section, '[*_`#]', '', 'g')), name)),
+f AS (SELECT paper, id, CASE WHEN n = 1 THEN 1 ELSE 6 END AS place FROM o WHERE n <= 2 UNION ALL SELECT paper, id, place FROM h WHERE n = 1),
+l AS (SELECT paper, id, row_number() OVER (PARTITION BY paper ORDER BY page, chunk_index NULLS FIRST, id) AS n FROM c WHERE regexp_matches(text, '(?i)\bdimensions?\b[^:.]{{0,120}}:\s*[^.]{{15,}}'))
+SELECT paper, min(place) AS place, id, 'overview' AS reason FROM f GROUP BY paper, id UNION ALL SELECT paper, 0, id, 'direct_list' FROM l WHERE n = 1""".replace("{_CLAIM}", _CLAIM),
     "infer_task": f"""SELECT CASE WHEN regexp_matches(q, '(?i)\\b(conflict|contradict|disagree)') THEN 'conflict' WHEN regexp_matches(q, '(?i)\\b(compare|comparison|differ)') THEN 'comparison'
   WHEN regexp_matches(q, '(?i)\\b(summarize|summarise|summary|overview)\\b') THEN 'summary' ELSE 'focused' END AS task, count(*) AS n FROM (SELECT coalesce(query, '') AS q FROM {latest_sql('relevance_labels_to_review', 'label_id')}) GROUP BY ALL""",
     "similarity_to_chunk": f"""SELECT citation_id, round({jaccard_sql('a', 'b')}, 6) AS likeness FROM (

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from marginalia.functions.display import plain_text, without_bibliography
 from marginalia.operators.context import blocks, candidate_spans
 from marginalia.operators.chunks import chunk_position, latest_by, stored_chunks
-from marginalia.operators.evaluation import label_problems, leaked_queries, locator_hits, paper_coverage, retrieval_metrics, threshold_metrics
+from marginalia.operators.evaluation import dimension_coverage, generation_metrics, kinds_per_split, label_problems, leaked_queries, locator_hits, locator_metrics, paper_coverage, retrieval_metrics, threshold_metrics
 from marginalia.operators.evidence import claims, context_blocks, coverage_warnings, number_evidence, reference, validate
 from marginalia.operators.expand import contained, merge_intervals, neighbours, number_paragraphs
 from marginalia.operators.pages import carry_sections, guess_title, is_repeated, margin_counts, paragraph_rows, passage_rows, sentence_rows, strip_margins
 from marginalia.operators.rerank import term_overlap
 from marginalia.operators.snapshots import hex_digest, path_set
 from marginalia.operators.sync import by_content, check_deletions, committed, obsolete, plan_sync, sync_counts
+from marginalia.operators.terminology import definitions, terminology
 from marginalia.plans.search_queries import jaccard_sql, latest_sql, terms_sql
 from marginalia.plans.tables import table
 
@@ -238,13 +239,38 @@ def bibliography_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def acronym_definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Acronyms with a single spelled-out form in the corpus, by the initials of the words before the bracket."""
-    pair = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"((?:\p{L}+[ -]){1,10}\(\p{Lu}{2,10}\))"), F.lit(1)))
-    found = table(spark, d, "documents").select("doc_id", pair.alias("p")).select("doc_id", F.regexp_extract("p", r"\((\p{Lu}{2,10})\)", 1).alias("acronym"), F.split(F.trim(F.regexp_replace("p", r"\(.*$", "")), "[ -]+").alias("words"))
-    last = F.slice("words", F.greatest(F.size("words") - F.length("acronym") + 1, F.lit(1)), F.length("acronym"))
-    fits = found.withColumn("words", last).where(F.upper(F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), "")) == F.col("acronym"))
-    meanings = fits.groupBy("acronym").agg(F.collect_set(F.lower(F.array_join("words", " "))).alias("m"), F.count_distinct("doc_id").alias("n_documents"))
-    return meanings.where(F.size("m") == 1).select("acronym", F.col("m")[0].alias("phrase"), "n_documents")
+    """Acronyms with one spelled-out form in all documents."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.col("doc_id").cast("string")).alias("paper"), "text", "title")
+    return terminology(definitions(docs))
+
+
+def locator_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the citations of each answer find of the passages that labels expect."""
+    _, expected, hits = _cases(spark, d)
+    return locator_metrics(expected, hits)
+
+
+def coverage_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Expected locators by source and by the label's kind as dimension."""
+    labels = latest_by(table(spark, d, "relevance_labels_to_review"), "label_id")
+    _, expected, hits = _cases(spark, d)
+    return dimension_coverage(expected.join(labels.select(F.col("label_id").alias("case_id"), F.col("kind").alias("dimension")), "case_id"), hits)
+
+
+def generation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every label as a case, answered where its answer's citations hold."""
+    cases, expected, _ = _cases(spark, d)
+    checked = validate(_answers(spark, d), _evidence(spark, d).select("answer_id", "evidence_id"), "answer_id").select(F.col("answer_id").alias("case_id"), F.col("valid").alias("references_valid"))
+    none = F.lit(None)
+    c = cases.join(checked, "case_id", "left").withColumn("actual", F.when(F.col("references_valid"), "answered").when(~F.col("references_valid"), "validation_failed").otherwise("abstained"))
+    c = c.withColumns({"support": F.when(F.col("references_valid"), "passed"), "model_calls": F.lit(2), "recovery_rounds": none.cast("int"), "recovery_success": none.cast("boolean")})
+    cited = _evidence(spark, d).select(F.col("answer_id").alias("case_id"), "source", "page").join(c.where("actual = 'answered'").select("case_id"), "case_id", "left_semi")
+    return generation_metrics(c, cited, expected)
+
+
+def calibration_checks(spark: SparkSession, d: str) -> DataFrame:
+    labels = latest_by(table(spark, d, "relevance_labels_to_review"), "label_id")
+    return kinds_per_split(labels.withColumn("split", F.regexp_replace(F.lower("split"), "[^a-z]", "")))
 
 
 QUERIES = {
@@ -252,7 +278,7 @@ QUERIES = {
     for f in (
         margin_signatures, strip_page_margins, title_guess, section_carry, sentence_counts, page_passages, content_digest, sync_plan, sync_plan_counts, committed_view, obsolete_chunks, chunk_positions,
         neighbour_band, interval_merge, span_containment, expanded_context, evidence_dedupe_ids, evidence_context, evidence_references, extract_claims, validate_citations, uncited_statements,
-        eval_recall_mrr, eval_paper_coverage, threshold_table, label_checks, leakage_check, display_text, bibliography_cut, acronym_definitions,
+        eval_recall_mrr, eval_paper_coverage, threshold_table, label_checks, leakage_check, display_text, bibliography_cut, acronym_definitions, locator_scores, coverage_by_kind, generation_scores, calibration_checks,
     )
 }
 
@@ -395,6 +421,15 @@ SELECT document_id, place, signature, n_pages FROM c JOIN (SELECT document_id, c
   count(*) FILTER (NOT wanted AND n_hits > 0) AS negative_cases_with_evidence, CAST(coalesce(sum(n_hits) FILTER (NOT wanted), 0) AS BIGINT) AS negative_evidence_blocks FROM joined""",
     "eval_paper_coverage": f"""WITH {_CASES}, g AS (SELECT DISTINCT case_id, source FROM marked WHERE matched)
 SELECT source, count(*) AS expected_cases, count(g.case_id) AS hits, round(count(g.case_id) / count(*), 4) AS recall FROM (SELECT DISTINCT case_id, source FROM cases WHERE wanted) c LEFT JOIN g USING (case_id, source) GROUP BY source""",
+    "locator_scores": f"""WITH {_CASES}, e AS (SELECT case_id, source, page FROM cases WHERE wanted), m AS (SELECT *, (case_id, source, coalesce(page, -1)) IN (SELECT (case_id, source, coalesce(page, -1)) FROM e) AS ok FROM hits),
+best AS (SELECT e.case_id, min(m.rank) FILTER (ok) AS first FROM (SELECT DISTINCT case_id FROM e) e LEFT JOIN m USING (case_id) GROUP BY ALL)
+SELECT round(count(*) FILTER (ok) / count(*), 4) AS locator_precision, (SELECT round(count(*) FILTER ((case_id, source, coalesce(page, -1)) IN (SELECT (case_id, source, coalesce(page, -1)) FROM hits)) / count(*), 4) FROM e) AS locator_recall,
+  (SELECT round(count(first) / count(*), 4) FROM best) AS page_recall, (SELECT round(avg(coalesce(1.0::DOUBLE / first, 0.0)), 4) FROM best) AS mrr FROM m""",
+    "coverage_by_kind": f"""WITH {_CASES}, k AS (SELECT label_id AS case_id, kind AS dimension FROM {_LABELS}), e AS (SELECT DISTINCT case_id, source, page, dimension FROM cases JOIN k USING (case_id) WHERE wanted AND dimension IS NOT NULL)
+SELECT source, dimension, count(*) AS expected, count(*) FILTER ((case_id, source, coalesce(page, -1)) IN (SELECT (case_id, source, coalesce(page, -1)) FROM hits)) AS retrieved,
+  round(count(*) FILTER ((case_id, source, coalesce(page, -1)) IN (SELECT (case_id, source, coalesce(page, -1)) FROM hits)) / count(*), 4) AS recall FROM e GROUP BY ALL""",
+    "calibration_checks": f"""WITH h AS (SELECT DISTINCT regexp_replace(lower(split), '[^a-z]', '', 'g') AS split, kind FROM {_LABELS} WHERE split IS NOT NULL),
+w AS (SELECT DISTINCT split, unnest(['relevant', 'topical_negative', 'out_of_corpus']) AS kind FROM h WHERE kind IS NOT NULL) SELECT * FROM w EXCEPT SELECT split, kind FROM h WHERE kind IS NOT NULL""",
     "threshold_table": f"""WITH s AS (SELECT relevant, {jaccard_sql('a', 'b')} AS score FROM (SELECT relevant, list_distinct({terms_sql('query')}) AS a, list_distinct({terms_sql('passage')}) AS b FROM {_LABELS}) WHERE relevant IS NOT NULL),
 m AS (SELECT threshold, count(*) FILTER (score >= threshold AND relevant) AS tp, count(*) FILTER (score >= threshold AND NOT relevant) AS fp, count(*) FILTER (score < threshold AND relevant) AS fn, count(*) FILTER (score < threshold AND NOT relevant) AS tn
   FROM s, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) GROUP BY threshold)
