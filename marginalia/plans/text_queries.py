@@ -80,7 +80,7 @@ def sync_plan(spark: SparkSession, d: str) -> DataFrame:
     first = rows.agg(F.min("snapshot_no").alias("_first"))
     now = rows.join(F.broadcast(first), F.col("snapshot_no") > F.col("_first")).drop("_first", "next_no")
     then = rows.where("next_no IS NOT NULL").select(F.col("next_no").alias("snapshot_no"), "digest", "path")
-    return plan_sync(now, by_content(then, ("snapshot_no",)), ("snapshot_no",))
+    return plan_sync(now, by_content(then, ("snapshot_no",)), ("snapshot_no",)).drop("paths", "successor")
 
 
 def sync_plan_counts(spark: SparkSession, d: str) -> DataFrame:

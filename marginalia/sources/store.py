@@ -1,28 +1,31 @@
-"""A versioned chunk store on plain Parquet.
+"""A versioned chunk store on plain Parquet, where a commit costs what it changes.
 
-Every version is an immutable folder.  A version becomes visible by replacing one
-small pointer file after its rows were written and read back; until then, and
-after any failure, readers see the version before.  One writer at a time is assumed.
+Chunks lie in immutable batches, one for each commit.  A version is a manifest: one row a document with its paths, its
+status and the batch that holds its chunks; documents that a commit doesn't touch keep their batch.  A version
+becomes visible by replacing one small pointer file after its rows were written and read back; until then, and
+after any failure, readers see the version before.  A pending file tells what a commit under way writes, so that
+:meth:`Store.recover` can finish or undo it.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.config import IndexConfig
 from marginalia.operators.sync import VISIBLE
+from marginalia.sources.folder import Folder, write_json
 
-SCHEMA_VERSION = 1
-TABLES = ("chunks", "owners", "manifest")
+__all__ = ["Store", "StoreError", "Version", "next_version", "write_json"]
+
+SCHEMA_VERSION = 2
+MANIFEST = "document_id string, paths array<string>, status string, batch string, n_chunks bigint"
 
 
 class StoreError(RuntimeError):
@@ -33,33 +36,6 @@ class StoreError(RuntimeError):
         self.status = status
 
 
-def write_json(path: Path, data: dict) -> None:
-    """Whole or not at all: a temporary file in the same folder, flushed, then renamed."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=path.name, suffix=".tmp")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(data, f, indent=1, sort_keys=True)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
-
-
-def read_json(path: Path) -> dict | None:
-    if not path.exists():
-        return None
-    try:
-        data = json.loads(path.read_text(encoding="utf-8"))
-    except ValueError as e:
-        raise StoreError("incomplete", f"{path} isn't readable: {e}") from e
-    if not isinstance(data, dict):
-        raise StoreError("incomplete", f"{path} holds no object")
-    return data
-
-
 @dataclass(frozen=True)
 class Version:
     name: str
@@ -67,22 +43,49 @@ class Version:
     revision: str
     n_chunks: int
     committed_at: str
+    batches: list[str] = field(default_factory=list)
     schema_version: int = SCHEMA_VERSION
 
 
+def _bag(df: DataFrame) -> list:
+    """Aggregates over whole rows, texts and metadata included, by which what was read back is compared with what was written."""
+    row = F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))))
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")).cast("string").alias(f"h{seed}") for seed in (1, 2)]
+    return [F.count(F.lit(1)).alias("n"), *sums]
+
+
+def revision_of(manifest: DataFrame, fingerprint: str) -> str:
+    """A digest of all visible documents in order: digests are sorted and hashed in two levels of buckets, so no list is long."""
+    row = F.to_json(F.struct("document_id", F.array_sort("paths").alias("paths"), "n_chunks"))
+    level = manifest.where(F.col("status").isin(*VISIBLE)).select(F.sha2(F.concat_ws(",", F.lit(fingerprint), row), 256).alias("d"), F.lit("").alias("at"))
+    for digits in (4, 2, 0):
+        level = level.withColumn("at", F.substring(F.when(F.col("at") == "", F.col("d")).otherwise(F.col("at")), 1, digits) if digits else F.lit(""))
+        level = level.groupBy("at").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d"))
+    found = level.select("d").collect()
+    return found[0][0] if found else ""
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str | Path, config: IndexConfig):
-        self.spark, self.root, self.config = spark, Path(root), config
+    def __init__(self, spark: SparkSession, root: object, config: IndexConfig):
+        self.spark, self.folder, self.config = spark, Folder(spark, str(root)), config
 
-    @property
-    def _pointer(self) -> Path:
-        return self.root / "current.json"
+    def _read(self, name: str) -> dict | None:
+        text = self.folder.read(name)
+        if text is None:
+            return None
+        try:
+            data = json.loads(text)
+        except ValueError as e:
+            raise StoreError("incomplete", f"{name} isn't readable: {e}") from e
+        if not isinstance(data, dict):
+            raise StoreError("incomplete", f"{name} holds no object")
+        return data
 
     def current(self) -> Version | None:
         """The visible version; None if nothing was ever committed; StoreError if it doesn't fit the configuration."""
-        data = read_json(self._pointer)
+        data = self._read("current.json")
         if data is None:
-            if self.root.exists() and any(self.root.glob("version=*")):
+            if any(n.startswith("version=") for n in self.folder.names()) and self._read("pending.json") is None:
                 raise StoreError("legacy", "there are versions but no pointer; rebuild the index")
             return None
         if data.get("schema_version") != SCHEMA_VERSION:
@@ -95,67 +98,123 @@ class Store:
             raise StoreError("mismatch", "the index was made with another configuration; rebuild it")
         return version
 
-    def table(self, name: str, version: Version | None = None) -> DataFrame:
-        version = version or self.current()
+    def _version(self) -> Version:
+        version = self.current()
         if version is None:
             raise StoreError("missing", "nothing was committed yet")
-        return self.spark.read.parquet(str(self.root / f"version={version.name}" / name))
+        return version
+
+    def manifest(self) -> DataFrame:
+        """(document_id, paths, status, batch, n_chunks): all documents of the visible version; no rows before the first."""
+        version = self.current()
+        if version is None:
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(self.folder.path(f"version={version.name}"))
+
+    def chunks(self) -> DataFrame:
+        """All chunks of the version's documents, with ``batch``; chunks of documents that left it are skipped."""
+        version = self._version()
+        parts = [self.spark.read.option("mergeSchema", "true").parquet(self.folder.path(f"batch={b}")).withColumn("batch", F.lit(b)) for b in version.batches]
+        if not parts:
+            raise StoreError("missing", "the version has no chunks")
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p, allowMissingColumns=True)
+        return rows.join(self.manifest().select("document_id", "batch"), ["document_id", "batch"], "left_semi")
 
     def visible_chunks(self) -> DataFrame:
-        """Chunks of documents that are indexed or stale, with their owner's document and paths."""
-        owners = self.table("owners").where(F.col("status").isin(*VISIBLE)).drop("status")
-        return self.table("chunks").join(owners.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("_d"), "paths"), "id").where(F.col("document_id").isNull() | (F.col("document_id") == F.col("_d"))).drop("_d")
+        """Chunks of documents that are indexed or stale, with the paths of their document."""
+        shown = self.manifest().where(F.col("status").isin(*VISIBLE)).select("document_id", "paths")
+        return self.chunks().drop("batch").join(shown, "document_id")
 
     def get(self, ids: list[str]) -> DataFrame:
-        return self.table("chunks").where(F.col("id").isin(*ids))
+        return self.chunks().where(F.col("id").isin(*ids))
+
+    def incomplete(self) -> DataFrame:
+        """(document_id, n_chunks, n_stored): visible documents whose stored chunks are not as many as the manifest says."""
+        stored = self.chunks().groupBy("document_id").agg(F.count_distinct("id").alias("n_stored"))
+        rows = self.manifest().where(F.col("status").isin(*VISIBLE)).join(stored, "document_id", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0)))
+        return rows.where("n_chunks <> n_stored").select("document_id", "n_chunks", "n_stored")
 
-    def commit(self, chunks: DataFrame, manifest: DataFrame) -> Version:
-        """Writes a new version and makes it visible.
+    def commit(self, chunks: DataFrame | None, manifest: DataFrame) -> Version:
+        """Writes the chunks of new documents as a batch and a manifest over all documents, and makes them visible.
 
-        ``chunks`` has id and document_id; ``manifest`` one row a document: document_id, paths, status
-        (indexed, stale, empty, orphaned).  Read back, rows must be complete, ids unique and every visible document's
-        chunks owned; otherwise nothing changes for readers.
+        ``chunks``: id, document_id and more, of documents whose manifest row has no ``batch`` yet (a manifest without that column
+        has none); ``manifest``: document_id, paths, status (indexed, stale, empty, orphaned), and batch of those that stay.  What is read back must
+        have the values that were written, ids must be unique and every chunk's document listed; otherwise nothing changes for readers.
         """
+        before = self.current()
         name = f"{datetime.now(UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-        at = self.root / f"version={name}"
-        # Rows first: what isn't pointed at doesn't exist.
-        chunks.write.parquet(str(at / "chunks"))
-        manifest.write.parquet(str(at / "manifest"))
-        written, entries = (self.spark.read.parquet(str(at / t)) for t in ("chunks", "manifest"))
-        owners = written.select(F.col("id").alias("chunk_id"), "document_id").join(entries.select("document_id", "paths", "status"), "document_id")
-        owners.write.parquet(str(at / "owners"))
-        owned = self.spark.read.parquet(str(at / "owners"))
-        n, distinct = written.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-        n_documents, distinct_documents = entries.agg(F.count(F.lit(1)), F.count_distinct("document_id")).first()
-        if n != distinct or n_documents != distinct_documents or owned.count() != n:
-            raise StoreError("incomplete", "ids repeat, or chunks lack a manifest entry; the version stays invisible")
-        revision = owned.where(F.col("status").isin(*VISIBLE)).agg(F.sha2(F.concat_ws(",", F.lit(self.config.fingerprint), F.bit_xor(F.xxhash64("chunk_id", "document_id", F.to_json("paths"))).cast("string"), F.count(F.lit(1)).cast("string")), 256)).first()[0]
-        version = Version(name, self.config.fingerprint, revision, n, datetime.now(UTC).isoformat())
-        write_json(self._pointer, asdict(version))
+        self.folder.write("pending.json", {"name": name, "before": before.name if before else None})
+        for c in ("batch", "n_chunks"):
+            manifest = manifest if c in manifest.columns else manifest.withColumn(c, F.lit(None))
+        known = self.manifest().select("document_id", "batch", F.col("n_chunks").alias("_n"))
+        counts = self.spark.createDataFrame([], "document_id string, _new bigint")
+        if chunks is not None:
+            seen = Observation(f"written-{name}")
+            chunks.observe(seen, *_bag(chunks)).write.parquet(self.folder.path(f"batch={name}"))
+            written = self.spark.read.schema(chunks.schema).parquet(self.folder.path(f"batch={name}"))
+            if {k: str(v) for k, v in written.agg(*_bag(written)).first().asDict().items()} != {k: str(v) for k, v in seen.get.items()}:
+                raise StoreError("incomplete", "what was read back differs from what was written; the version stays invisible")
+            if written.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect():
+                raise StoreError("incomplete", "chunk ids repeat; the version stays invisible")
+            counts = written.groupBy("document_id").agg(F.count(F.lit(1)).alias("_new"))
+            if counts.join(manifest.where("batch IS NULL").select("document_id"), "document_id", "left_anti").limit(1).collect():
+                raise StoreError("incomplete", "chunks lack a manifest entry; the version stays invisible")
+        rows = manifest.withColumn("batch", F.col("batch").cast("string")).join(known, ["document_id", "batch"], "left").join(counts, "document_id", "left")
+        fresh = F.col("batch").isNull()
+        rows = rows.select("document_id", "paths", "status", F.when(fresh, F.lit(name)).otherwise(F.col("batch")).alias("batch"), F.when(fresh, F.coalesce("_new", F.lit(0))).otherwise(F.coalesce("_n", F.lit(0))).cast("bigint").alias("n_chunks"))
+        place = self.folder.path(f"version={name}")
+        rows.write.parquet(place)
+        stored = self.spark.read.schema(MANIFEST).parquet(place)
+        n, distinct, total = stored.agg(F.count(F.lit(1)), F.count_distinct("document_id"), F.coalesce(F.sum("n_chunks"), F.lit(0))).first()
+        if n != distinct:
+            raise StoreError("incomplete", "documents repeat; the version stays invisible")
+        batches = sorted(r[0] for r in stored.where("n_chunks > 0").select("batch").distinct().collect())  # as many as commits since the last compaction
+        version = Version(name, self.config.fingerprint, revision_of(stored, self.config.fingerprint), total, datetime.now(UTC).isoformat(), batches)
+        self.folder.write("current.json", asdict(version))
+        self.folder.delete("pending.json")
         return version
 
-    def sweep(self) -> list[str]:
-        """Names of versions that no pointer names; remove them once no reader is left."""
+    def recover(self) -> str:
+        """After a crash: ``clean`` (nothing was under way), ``finished`` (the pointer had been replaced) or ``undone`` (what was written is removed)."""
+        pending = self._read("pending.json")
+        if pending is None:
+            return "clean"
+        current = self.current()
+        done = current is not None and current.name == pending["name"]
+        if not done:
+            for part in ("batch", "version"):
+                self.folder.delete(f"{part}={pending['name']}")
+        self.folder.delete("pending.json")
+        return "finished" if done else "undone"
+
+    def compact(self) -> Version:
+        """All chunks of the version in one new batch; the batches before can be swept."""
+        chunks = self.chunks().drop("batch")
+        return self.commit(chunks, self.manifest().drop("batch", "n_chunks"))
+
+    def sweep(self, remove: bool = False) -> list[str]:
+        """Versions and batches that the visible version doesn't use; ``remove`` them once no reader is left."""
         current = self.current()
-        return sorted(p.name.removeprefix("version=") for p in self.root.glob("version=*") if current is None or p.name != f"version={current.name}")
+        used = {f"version={current.name}", *(f"batch={b}" for b in current.batches)} if current else set()
+        free = [n for n in self.folder.names() if n.split("=")[0] in ("version", "batch") and n not in used]
+        for n in free if remove else []:
+            self.folder.delete(n)
+        return free
 
 
-def next_version(store: Store, plan: DataFrame, prepared: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks and manifest after a synchronisation plan (:func:`marginalia.operators.sync.plan_sync`, with now_paths).
+def next_version(store: Store, plan: DataFrame, made: DataFrame, failed: DataFrame) -> DataFrame:
+    """The manifest after a plan of :func:`marginalia.operators.sync.plan_sync`, for :meth:`Store.commit`.
 
-    ``prepared`` has the chunks of added and modified documents.  Unchanged, renamed and moved documents keep their
-    chunks; a replaced document whose successor failed stays as ``stale``; deleted ones go.
-    ``plan`` needs digest, action, paths, and for a replaced one ``successor``; ``failed`` has digest.
+    ``made`` (document_id) are the documents that have new chunks, ``failed`` (digest) those that couldn't be prepared.  Unchanged, renamed and
+    moved documents keep their batch; a replaced document whose successor failed stays as ``stale``; deleted ones go.
     """
-    has = store.current() is not None
     lost = failed.select(F.col("digest").alias("successor")).distinct().withColumn("_failed", F.lit(True))
-    steps = plan.join(lost, "successor", "left")
-    stale = F.coalesce(F.col("_failed"), F.lit(False))
-    kept = steps.where(F.col("action").isin("unchanged", "renamed", "moved") | ((F.col("action") == "replaced") & stale)).select(F.col("digest").alias("document_id"), "paths", F.when(F.col("action") == "replaced", "stale").otherwise("indexed").alias("status"))
-    made = prepared.select("document_id").distinct()
-    new = plan.where(F.col("action").isin("added", "modified")).select(F.col("digest").alias("document_id"), "paths").join(failed.select(F.col("digest").alias("document_id")), "document_id", "left_anti")
-    fresh = new.join(made.withColumn("_made", F.lit(True)), "document_id", "left").select("document_id", "paths", F.when(F.col("_made"), "indexed").otherwise("empty").alias("status"))
-    chunks = prepared
-    if has:
-        chunks = chunks.unionByName(store.table("chunks").join(kept.select("document_id"), "document_id", "left_semi"))
-    return chunks, kept.unionByName(fresh)
+    steps = plan.join(lost, "successor", "left").withColumn("document_id", F.col("digest"))
+    stays = F.col("action").isin("unchanged", "renamed", "moved") | ((F.col("action") == "replaced") & F.coalesce(F.col("_failed"), F.lit(False)))
+    batches = store.manifest().select("document_id", "batch", F.col("status").alias("_was"))
+    kept = steps.where(stays).join(batches, "document_id").select("document_id", "paths", F.when(F.col("action") == "replaced", "stale").when(F.col("_was") == "stale", "indexed").otherwise(F.col("_was")).alias("status"), "batch")
+    new = steps.where(F.col("action").isin("added", "modified", "incomplete")).join(failed.select("digest"), "digest", "left_anti")
+    fresh = new.join(made.select("document_id").distinct().withColumn("_made", F.lit(True)), "document_id", "left")
+    return kept.unionByName(fresh.select("document_id", "paths", F.when(F.col("_made"), "indexed").otherwise("empty").alias("status"), F.lit(None).cast("string").alias("batch")))

@@ -7,7 +7,9 @@ from marginalia.config import IndexConfig, RetrievalConfig, load
 from marginalia.operators.questions import aliases, corrections, instruction, needs_scope, variants
 from marginalia.sources.labelled import golden_set, relevance_labels, write_report
 from marginalia.sources.library import delete_file, extract_pages, resolve, scan, store_upload, upload_name
-from marginalia.sources.store import Store, StoreError, next_version
+from marginalia.operators.sync import legacy_owners
+from marginalia.sources.store import Store, StoreError
+from marginalia.sources.synchronise import synchronise, with_vectors
 from marginalia.streaming.library_stream import new_files, run_available
 
 PDF = b"%PDF-1.4 page one\fpage two"
@@ -67,18 +69,23 @@ def tables(spark, docs):
 
 def test_store_commits_are_atomic(spark, tmp_path):
     store = Store(spark, tmp_path, IndexConfig())
-    assert store.current() is None
+    assert store.current() is None and store.recover() == "clean"
     first = store.commit(*tables(spark, [("a", "x"), ("b", "y")]))
     assert store.current() == first and {r.id for r in store.visible_chunks().collect()} == {"a-1", "b-1"} and store.get(["a-1"]).count() == 1
     chunks, manifest = tables(spark, [("c", "z")])
-    with pytest.raises(StoreError):
-        store.commit(chunks.unionByName(chunks), manifest)  # repeated ids: readers keep the version before
-    assert store.current() == first and len(store.sweep()) == 1
+    for bad in ((chunks.unionByName(chunks), manifest), (chunks, tables(spark, [("d", "z")])[1]), (chunks, manifest.unionByName(manifest))):
+        with pytest.raises(StoreError):
+            store.commit(*bad)  # repeated ids, no entry, repeated documents: readers keep the version before
+        assert store.current() == first and store.recover() == "undone" and store.sweep() == []
     with pytest.raises(StoreError) as e:
         Store(spark, tmp_path, IndexConfig(chunk_size=100)).current()
     assert e.value.status == "mismatch"
     second = store.commit(*tables(spark, [("a", "x"), ("b", "y")]))
-    assert second.revision == first.revision and second.name != first.name
+    assert second.revision == first.revision and second.name != first.name and len(store.sweep()) == 2
+    third = store.commit(*tables(spark, [("a", "x"), ("c", "y")]))
+    assert third.revision != first.revision and len(store.sweep(remove=True)) == 4 and store.sweep() == []
+    store.folder.write("pending.json", {"name": third.name})
+    assert store.recover() == "finished" and store.visible_chunks().count() == 2
     (tmp_path / "current.json").write_text("{")
     with pytest.raises(StoreError):
         store.current()
@@ -88,15 +95,65 @@ def test_store_commits_are_atomic(spark, tmp_path):
     assert e.value.status == "legacy"
 
 
-def test_next_version_keeps_what_failed_to_be_replaced(spark, tmp_path):
+def test_read_back_compares_values(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    store = Store(spark, tmp_path, IndexConfig())
+    read = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *p: read(self, *p).replace("x", "other", "text") if "batch=" in p[0] else read(self, *p))
+    with pytest.raises(StoreError, match="differs"):
+        store.commit(*tables(spark, [("a", "x")]))
+    assert store.current() is None
+
+
+def test_synchronise(spark, tmp_path):
     store = Store(spark, tmp_path, IndexConfig())
-    store.commit(*tables(spark, [("old", "x"), ("same", "y"), ("gone", "z")]))
-    plan = spark.createDataFrame([("old", "replaced", ["old.pdf"], "new"), ("new", "modified", ["old.pdf"], None), ("same", "renamed", ["r.pdf"], None), ("gone", "deleted", ["gone.pdf"], None), ("fresh", "added", ["f.pdf"], None)], "digest string, action string, paths array<string>, successor string")
-    prepared, _ = tables(spark, [("fresh", "new text")])
-    chunks, manifest = next_version(store, plan, prepared, spark.createDataFrame([("new",)], "digest string"))
-    store.commit(chunks, manifest)
-    assert {(r.document_id, r.status) for r in store.table("manifest").collect()} == {("old", "stale"), ("same", "indexed"), ("fresh", "indexed")}
-    assert {(r.id, tuple(r.paths)) for r in store.visible_chunks().collect()} == {("old-1", ("old.pdf",)), ("same-1", ("r.pdf",)), ("fresh-1", ("f.pdf",))}
+    asked = []
+
+    def prepare(wanted):
+        rows = [(r.digest, r.primary_path) for r in wanted.collect()]
+        asked.append(sorted(d for d, _ in rows))
+        good = [(f"{d}-1-{i}", d, f"text {i} of {d}") for d, _ in rows if not d.startswith(("bad", "empty")) for i in range(2)]
+        return spark.createDataFrame(good, "id string, document_id string, text string"), spark.createDataFrame([(d,) for d, _ in rows if d.startswith("bad")], "digest string")
+
+    def sync(**files):
+        df = spark.createDataFrame([(d, p) for p, d in files.items()], "path string, digest string").select(F.col("digest").alias("path"), F.col("path").alias("digest"))
+        version, plan = synchronise(store, df, prepare, most_deleted=0.6)
+        shown = {(r.document_id, tuple(r.paths), r.status) for r in store.manifest().collect()}
+        return version, shown, {r.digest: r.action for r in plan.collect()}
+
+    one, shown, _ = sync(a="d1", b="d2", c="d3", e="empty1")
+    assert shown == {("d1", ("a",), "indexed"), ("d2", ("b",), "indexed"), ("d3", ("c",), "indexed"), ("empty1", ("e",), "empty")} and one.n_chunks == 6
+    # A rename, a content that fails in place of another, a new one: only new contents are prepared, and only they are written.
+    two, shown, plan = sync(moved="d1", b="bad2", c="d3", n="d4", e="empty1")
+    assert plan == {"d1": "renamed", "d2": "replaced", "bad2": "modified", "d3": "unchanged", "d4": "added", "empty1": "unchanged"} and asked[-1] == ["bad2", "d4"]
+    assert shown == {("d1", ("moved",), "indexed"), ("d2", ("b",), "stale"), ("d3", ("c",), "indexed"), ("d4", ("n",), "indexed"), ("empty1", ("e",), "empty")}
+    assert two.batches == sorted([one.name, two.name]) and {r.id for r in store.visible_chunks().collect()} == {f"d{i}-1-{k}" for i in (1, 2, 3, 4) for k in (0, 1)}
+    # Nothing new: no batch; the failed content is tried again; a deleted one goes.
+    three, shown, plan = sync(moved="d1", b="bad2", c="d3", e="empty1")
+    assert asked[-1] == ["bad2"] and plan["d4"] == "deleted" and ("d2", ("b",), "stale") in shown and three.n_chunks == 6
+    # Chunks that were lost are prepared again.
+    batch = tmp_path / f"batch={one.name}"
+    kept = spark.read.parquet(str(batch)).where("id <> 'd3-1-1'").collect()
+    spark.createDataFrame(kept).write.mode("overwrite").parquet(str(batch))
+    spark.catalog.clearCache()
+    four, shown, plan = sync(moved="d1", b="bad2", c="d3", e="empty1")
+    assert plan["d3"] == "incomplete" and asked[-1] == ["bad2", "d3"] and store.visible_chunks().where("document_id = 'd3'").count() == 2
+    five = store.compact()
+    assert five.batches == [five.name] and five.revision == four.revision and store.visible_chunks().count() == 6
+    with pytest.raises(ValueError, match="deleted"):
+        sync(x="d9")
+    assert store.current() == five
+
+
+def test_legacy_owners_and_vectors(spark):
+    chunks = spark.createDataFrame([("a" * 16 + "-1-0", None), ("a" * 20 + "-1-0", None), ("b" * 16 + "-1-0", "doc"), ("c" * 16 + "-1-0", None), ("zz-1", None)], "id string, document_id string")
+    contents = spark.createDataFrame([("a" * 64,), ("c" * 16 + "0",), ("c" * 16 + "1",)], "digest string")
+    assert {r.id for r in legacy_owners(chunks, contents).collect()} == {"a" * 16 + "-1-0", "a" * 20 + "-1-0"}
+    texts = spark.createDataFrame([("ab",), (None,)], "text string")
+    assert [list(r.vector) for r in with_vectors(texts, lambda: lambda ts: [[float(len(t)), 1.0] for t in ts], 2).collect()] == [[2.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="vector"):
+        with_vectors(texts, lambda: lambda ts: [[1.0] for _ in ts], 2).collect()
 
 
 def test_golden_set(spark, tmp_path):
