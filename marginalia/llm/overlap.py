@@ -56,7 +56,7 @@ _FUNCTION = frozenset(
     el los las una unos unas del al con por para y o u e es son fue""".split()
 )
 # German words that stand before a noun; a name seldom follows them, unless a noun follows it.
-_DETERMINERS = tuple(
+_DETERMINERS = frozenset(
     """der die das den dem des ein eine einen einem einer eines welcher welche welches welchen welchem dieser diese dieses diesen diesem jeder jede jedes jeden jedem
     kein keine keinen keinem keiner keines im am vom zum zur beim ins ans""".split()
 )
@@ -118,15 +118,20 @@ def _one_slip(a: Column, b: Column) -> Column:
     return (a != b) & ((F.levenshtein(a, b, 1) >= 0) | ((F.length(a) == F.length(b)) & swapped))
 
 
+def word_facts(words: list[str], case: list[int]) -> dict[str, int]:
+    """For each word of one question what its places tell: 1 if written small somewhere, 2 if with a capital inside a sentence, 4 if so as a German noun."""
+    facts: dict[str, int] = {}
+    for i, (w, c) in enumerate(zip(words, case)):
+        noun = c == 2 and i > 0 and words[i - 1] in _DETERMINERS and (i + 1 == len(case) or case[i + 1] != 2)
+        facts[w] = facts.get(w, 0) | (c if c < 2 else 6 if noun else 2)
+    return facts
+
+
 def word_counts(tokens: DataFrame) -> DataFrame:
     """For each word the distinct questions that hold it, and those where it's written small, with a capital inside a sentence, or so as a German noun."""
-    each = tokens.select("query", "words", "case", F.posexplode("words").alias("at", "word"))
-    case, before, after = (F.get("case", F.col("at")), F.get("words", F.col("at") - 1), F.get("case", F.col("at") + 1))
-    noun = (case == 2) & F.coalesce(before.isin(*_DETERMINERS), F.lit(False)) & (F.coalesce(after, F.lit(0)) != 2)
-    each = each.select("query", "word", (case == 1).cast("int").alias("small"), (case == 2).cast("int").alias("capital"), noun.cast("int").alias("noun"))
-    kinds = ("small", "capital", "noun")
-    per_query = each.groupBy("query", "word").agg(*(F.max(c).alias(c) for c in kinds))
-    return per_query.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in kinds))
+    each = tokens.select(F.explode(F.arrays_zip("own", "facts")).alias("w")).select(F.col("w.own").alias("word"), F.col("w.facts").alias("f"))
+    having = lambda bit: F.sum(F.shiftright("f", bit).bitwiseAND(1))
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), having(0).alias("small"), having(1).alias("capital"), having(2).alias("noun"))
 
 
 def lexicon(counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -190,7 +195,8 @@ def canonical(words: list[str], case: list[int], known: list[Known | None]) -> t
     return out, kinds
 
 
-_TOKENS = pa.schema([("query", pa.string()), ("words", pa.list_(pa.string())), ("case", pa.list_(pa.int32()))])
+_TOKENS = pa.schema([("query", pa.string()), ("words", pa.list_(pa.string())), ("case", pa.list_(pa.int8())), ("own", pa.list_(pa.string())), ("facts", pa.list_(pa.int32()))])
+_TOKENS_SQL = "query string, words array<string>, case array<tinyint>, own array<string>, facts array<int>"
 _CANON = pa.schema([("query", pa.string()), ("words", pa.list_(pa.string())), ("kinds", pa.list_(pa.int8()))])
 _CANON_SQL = "query string, words array<string>, kinds array<tinyint>"
 
@@ -198,7 +204,9 @@ _CANON_SQL = "query string, words array<string>, kinds array<tinyint>"
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         read = [read_words(q) for q in b["query"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["query"], pa.array([r[0] for r in read], _TOKENS.types[1]), pa.array([r[1] for r in read], _TOKENS.types[2])], schema=_TOKENS)
+        facts = [word_facts(*r) for r in read]
+        columns = [[r[0] for r in read], [r[1] for r in read], [list(f) for f in facts], [list(f.values()) for f in facts]]
+        yield pa.RecordBatch.from_arrays([b["query"], *(pa.array(c, t) for c, t in zip(columns, _TOKENS.types[1:]))], schema=_TOKENS)
 
 
 def _canon(sent: Broadcast | None):
@@ -222,7 +230,7 @@ def canonical_rows(tokens: DataFrame, words: DataFrame) -> DataFrame:
     facts = ["ordinary", "named", "meant", "meant_name"]
     if words.count() <= SENT_WORDS:
         sent = tokens.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in words.select("word", *facts).collect()})
-        out = tokens.mapInArrow(_canon(sent), _CANON_SQL)
+        out = tokens.select("query", "words", "case").mapInArrow(_canon(sent), _CANON_SQL)
     else:
         each = tokens.select("query", F.posexplode("words").alias("at", "word"), "case").select("query", "at", "word", F.get("case", F.col("at")).alias("c"))
         each = each.join(words.select("word", F.struct(*facts).alias("known")), "word", "left")
@@ -333,7 +341,7 @@ class Overlap:
         rows = labels.where(F.col("label_id").isNotNull()).groupBy("label_id").agg(F.max(F.struct("loaded_at", "query", F.col("split"), "source")).alias("v")).select("label_id", "v.*")
         rows = rows.withColumn("side", side).withColumn("split", split).where("side IS NOT NULL AND query IS NOT NULL")
         queries = rows.select("query").distinct()
-        tokens = self.scratch.write(queries.mapInArrow(_tokens, "query string, words array<string>, case array<int>").where(F.size("words") > 0), "tokens")
+        tokens = self.scratch.write(queries.mapInArrow(_tokens, _TOKENS_SQL).where(F.size("words") > 0), "tokens")
         self.word_counts = self.scratch.write(word_counts(tokens), "counts")
         canon = canonical_rows(tokens, lexicon(self.word_counts, self.scratch)).withColumn("class", F.md5(F.array_join("words", "\u0001")))
         canon = self.scratch.write(canon, "canon")
