@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.fmindex import FMIndex
 from marginalia.llm.splits import path_key
-from marginalia.runtime import Scratch, blocks_for
+from marginalia.runtime import Scratch, blocks_for, parallel
 
 CLASSES_PER_SHARD = 20_000
 PAIRS_PER_PART = 500_000
@@ -366,7 +366,8 @@ class Overlap:
         ways = classes.join(bags, "bag", "left").withColumn("way", F.explode(F.when(large, divided).otherwise(F.array(F.col("bag"))))).drop("n", "rare")
         ways = self.scratch.write(ways, "ways")
         total = ways.where("indexed").count()
-        keyed = ways.withColumn("shard", F.pmod(F.xxhash64("way"), F.lit(blocks_for(total, CLASSES_PER_SHARD // 4))).cast("int")).drop("way").distinct()
+        shards = max(blocks_for(total, CLASSES_PER_SHARD // 4), min(parallel(ways.sparkSession), blocks_for(total, 500)))
+        keyed = ways.withColumn("shard", F.pmod(F.xxhash64("way"), F.lit(shards)).cast("int")).drop("way").distinct()
         # Parts of each shard, by the number of questions: one row a shard.
         parts = keyed.groupBy("shard").agg(
             F.ceil(F.count(F.when(F.col("indexed"), 1)) / CLASSES_PER_SHARD).cast("int").alias("parts"), F.ceil(F.count(F.when(F.col("searched"), 1)) / (4 * CLASSES_PER_SHARD)).cast("int").alias("streams")
