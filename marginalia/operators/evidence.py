@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.functions.display import excerpt
+
 # How citations are written (as asked for, nearly so, in the old style), and words that make a sentence factual or a label.
 _CITED_UNICODE = r"(?<![\p{L}\p{N}_])\[(E\p{Nd}+)\](?!\s*\()"
 _LIKE = r"(?i)\[(E\s*\d+[^\]]*)\]"
@@ -94,3 +96,21 @@ def context_blocks(evidence: DataFrame, group: str) -> DataFrame:
     number = F.substring("evidence_id", 2, 9).cast("int")
     listed = F.array_sort(F.collect_list(F.struct(number.alias("n"), block.alias("b"))))
     return evidence.groupBy(group).agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
+def answer_payload(answers: DataFrame, evidence: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ``status``, ``answer``, ``references``, ``warnings``) for display: of answered rows the cited evidence in the order of its ids.
+
+    ``answers`` has status; ``evidence`` key, evidence_id, title, source, page, text, chunk_index, character_start, character_end.  The answer
+    of a row that isn't ``answered`` is empty, and it has no references.
+    """
+    shown = answers.select(key, "status", F.when(F.col("status") == "answered", F.col(text)).otherwise("").alias("answer"))
+    cited = shown.select(key, F.explode(F.array_distinct(cited_ids(F.col("answer")))).alias("evidence_id"))
+    cards = evidence.withColumn("display_text", excerpt(F.col("text"))).withColumn("reference", reference(F.col("title"), F.col("source"), F.col("page")))
+    number = F.substring("evidence_id", 2, 9).cast("int")
+    card = F.struct(number.alias("n"), F.col("evidence_id").alias("id"), "reference", "source", "page", "text", "display_text", (F.col("chunk_index") + 1).alias("passage"), "character_start", "character_end")
+    listed = cited.join(cards, [key, "evidence_id"]).groupBy(key).agg(F.array_sort(F.collect_list(card)).alias("references"))
+    warnings = F.when(F.size("references") > 0, coverage_warnings(F.col("answer"))).otherwise(F.array().cast("array<string>"))
+    out = shown.join(listed, key, "left")
+    none = F.array().cast(out.schema["references"].dataType)
+    return out.withColumn("references", F.coalesce("references", none)).withColumn("warnings", warnings)

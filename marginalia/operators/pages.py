@@ -82,12 +82,22 @@ def strip_locators(pages: DataFrame) -> DataFrame:
     return located.withColumn("text", F.when(F.col("_repeats"), body).otherwise(opened)).drop("_volume", "_offset", "_repeats")
 
 
-def strip_margins(pages: DataFrame) -> DataFrame:
+def strip_running_title(text: Column, title: Column) -> Column:
+    """Without the document's title, if it has four words or more, at the beginning of a page, with marks and a page number behind it."""
+    words = F.regexp_extract_all(plain_title(F.coalesce(title, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    pattern = F.concat(F.lit(r"(?iu)^\s*(?:[#*_`]+\s*)*"), F.array_join(words, r"[^\p{L}\p{N}]+"), F.lit(r"(?:\s*[*_`#]+)*[ \t]*(?:\d+(?::\d+)?)?[ \t]*"))
+    return F.when(F.size(words) >= 4, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text)
+
+
+def strip_margins(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(document_id, page, text) without header and footer lines that repeat over the document's pages; pages left empty drop out.
 
-    ``pages`` has one row a document and page.  Null texts count as empty.
+    ``pages`` has one row a document and page.  Null texts count as empty.  With ``titles`` (document_id, title) running titles go first.
     """
-    found = strip_locators(pages.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text")))
+    texts = pages.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text"))
+    if titles is not None:
+        texts = texts.join(titles.select("document_id", "title"), "document_id", "left").select("document_id", "page", strip_running_title(F.col("text"), F.col("title")).alias("text"))
+    found = strip_locators(texts)
     repeated = margin_counts(found).where(is_repeated()).select("document_id", "place", "signature")
     numbered = lines(found).withColumn("signature", F.when((F.col("from_top") <= 2) | (F.col("from_bottom") <= 2), margin_signature(F.col("line"))))
     top = repeated.where("place = 'top'").select("document_id", "signature", F.lit(True).alias("_top"))

@@ -414,8 +414,11 @@ g AS (SELECT *, {_squeeze_sql("regexp_replace(plain, '[{Nd}]+', '#', 'g')").repl
 s AS (SELECT *, CASE WHEN plain = '' THEN NULL WHEN regexp_full_match(plain, '(?:page\s*)?[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?') THEN '<page-number>' WHEN length(masked) <= 200 AND length(regexp_replace(masked, '[^\p{{L}}]', '', 'g')) >= 4 THEN masked END AS signature FROM g),
 c AS (SELECT document_id, place, signature, count(DISTINCT page) AS n_pages FROM (SELECT *, 'top' AS place FROM s WHERE from_top <= 2 UNION ALL SELECT *, 'bottom' FROM s WHERE from_bottom <= 2) WHERE signature IS NOT NULL GROUP BY ALL)
 SELECT document_id, place, signature, n_pages FROM c JOIN (SELECT document_id, count(*) AS n_all FROM pages GROUP BY document_id) USING (document_id) WHERE n_pages >= greatest(2, ceil(n_all * 0.3))""",
-    "bibliography_cut": rf"""SELECT doc_id, CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)^{_SP}*(?:#{{1,6}}{_SP}*)?(?:\*\*|__)?{_SP}*(?:[0-9]+[.)]?{_SP}*)?(?:references|bibliography|works cited){_SP}*(?:\*\*|__)?{_SP}*:?{_SP}*$(?s:.*)', ''),
-  '(?m)^{_SP}*(?:[-*]{_SP}*)?\[[0-9]{{1,4}}\]{_SP}+\p{{Lu}}(?s:.*)', '')) AS INTEGER) AS n_kept FROM documents""",
+    "bibliography_cut": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT *, regexp_replace(regexp_replace(text, '(?im)^{_SP}*(?:#{{1,6}}{_SP}*)?(?:\*\*|__)?{_SP}*(?:[0-9]+[.)]?{_SP}*)?(?:references|bibliography|works cited){_SP}*(?:\*\*|__)?{_SP}*:?{_SP}*$(?s:.*)', ''),
+  '(?m)^{_SP}*(?:[-*+]{_SP}*)?\[[0-9]{{1,4}}\]{_SP}+\p{{Lu}}(?s:.*)', '') AS before FROM t),
+k AS (SELECT doc_id, text, CASE WHEN before <> text THEN before WHEN len(regexp_extract_all(text, '\[[0-9]{{1,4}}\]{_SP}+[A-Z][\p{{L}}\p{{N}}_-]+')) >= 2 THEN regexp_replace(text, '\[[0-9]{{1,4}}\]{_SP}+[A-Z][\p{{L}}\p{{N}}_-]+(?s:.*)', '') ELSE text END AS cut FROM c)
+SELECT doc_id, CAST(length(CASE WHEN cut <> text THEN regexp_replace(cut, '(?i){_SP}*(?:retrieved from|doi:){_SP}*!?\[[^\]]+\]\([^)]*\)\.?{_SP}*$', '') ELSE cut END) AS INTEGER) AS n_kept FROM k""",
     "eval_recall_mrr": f"""WITH {_CASES} SELECT count(*) FILTER (wanted) AS retrieval_cases, round(count(*) FILTER (wanted AND n_matched > 0) / nullif(count(*) FILTER (wanted), 0), 4) AS recall,
   round(avg(coalesce(1.0 / first, 0.0)::DOUBLE) FILTER (wanted), 4) AS mrr, round(sum(n_hits - n_matched) FILTER (wanted) / nullif(sum(n_hits) FILTER (wanted), 0), 4) AS unmatched_fraction,
   count(*) FILTER (NOT wanted AND n_hits > 0) AS negative_cases_with_evidence, CAST(coalesce(sum(n_hits) FILTER (NOT wanted), 0) AS BIGINT) AS negative_evidence_blocks FROM joined""",

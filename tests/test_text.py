@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.config import ContextConfig
-from marginalia.functions.display import excerpt, plain_text, without_bibliography
+from marginalia.functions.display import excerpt, plain_text, score_map, without_bibliography
 from marginalia.functions.passages import paragraphs, passages, sentences
 from marginalia.operators.evaluation import label_problems, leaked_queries, locator_hits, paper_coverage, retrieval_metrics, threshold_metrics
-from marginalia.operators.evidence import claims, coverage_warnings, number_evidence, reference, validate
+from marginalia.operators.evidence import answer_payload, claims, coverage_warnings, number_evidence, reference, validate
 from marginalia.operators.context import expand_context
 from marginalia.operators.expand import contained, merge_intervals, neighbours, number_paragraphs, overlapping
-from marginalia.operators.pages import carry_sections, guess_title, margin_signature, paragraph_rows, passage_rows, sentence_rows, strip_margins
+from marginalia.operators.pages import carry_sections, guess_title, margin_signature, paragraph_rows, passage_rows, sentence_rows, strip_margins, strip_running_title
 from marginalia.operators.sync import available, check_deletions, committed, obsolete, plan_sync
 
 
@@ -165,3 +165,22 @@ def test_metrics(spark):
     assert {r.problem: r.n for r in label_problems(labels).collect()} == {"missing_field": 1, "label_and_kind_disagree": 2, "duplicate_label": 1}
     assert [tuple(r) for r in leaked_queries(labels).collect()] == [("q", 2)]
     assert json.loads("{}") == {}
+
+
+def test_excerpts_titles_scores_and_payload(spark):
+    show = lambda t: one(spark, excerpt(F.lit(t)))
+    assert show("Prose here. doi: [10.1/x](http://x) [1] Doe-Roe wrote. [2] Roe too.") == "Prose here." and show("One citation [1] Doe only.") == "One citation [1] Doe only."
+    assert show("JANE DOE, Example University\n\nhttps://doi.org/10.1/x\n\nWe show &amp; tell.\n\nhttps://doi.org/10.1/y") == "We show & tell. https://doi.org/10.1/y"
+    assert show("JANE DOE, Example University\nAbstract of it.\n\n© 2020 Copyright held by all\n\nMore.") == "Abstract of it. More." or show("JANE DOE, Example University\nAbstract of it.") == ""
+    title = F.lit("A *Study* of River Floods")
+    assert one(spark, strip_running_title(F.lit("## A study of river-floods ** 12:3  Body"), title)) == "Body" and one(spark, strip_running_title(F.lit("A study of lakes"), title)) == "A study of lakes"
+    assert one(spark, strip_running_title(F.lit("Two words here"), F.lit("Two words"))) == "Two words here"
+    pages = spark.createDataFrame([("d", 1, "A study of River Floods 1\nBody"), ("d", 2, None)], "document_id string, page int, text string")
+    assert [r.text for r in strip_margins(pages, spark.createDataFrame([("d", "A Study of River Floods")], "document_id string, title string")).collect()] == ["Body"]
+    row = spark.createDataFrame([(1.0, None, 2.0, "x")], "rrf_score double, dense_score double, distance double, other string")
+    assert row.select(score_map(row.columns).alias("m")).first().m == {"rrf_score": 1.0, "distance": 2.0}
+    answers = spark.createDataFrame([(1, "answered", "Rain fell [E2]. It was cold. Wind [E10]."), (2, "abstained", "x [E1]")], "k int, status string, text string")
+    evidence = spark.createDataFrame([(1, f"E{i}", None, "a.pdf", 3, f"**text** {i}", i - 1, 0, 5) for i in (1, 2, 10)], "k int, evidence_id string, title string, source string, page int, text string, chunk_index int, character_start int, character_end int")
+    out = {r.k: r for r in answer_payload(answers, evidence, "k").collect()}
+    assert [(x.id, x.reference, x.display_text, x.passage) for x in out[1].references] == [("E2", "a.pdf, page 3", "text 2", 2), ("E10", "a.pdf, page 3", "text 10", 10)]
+    assert out[1].warnings == ["It was cold."] and (out[2].answer, out[2].references, out[2].warnings) == ("", [], [])
