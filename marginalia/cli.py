@@ -84,7 +84,8 @@ def ask(spark: SparkSession, store: Store, question: str, backend: Callable[[str
         scope = owners[0]
     asked = spark.createDataFrame([(0, question, scope)], "query_id bigint, text string, scope string")
     found = search(asked, chunks, load(RetrievalConfig)).join(chunks.select("id", "title", "document_id"), "id").orderBy("place").collect()
-    return generate(backend, question, [r.asDict() for r in found])
+    # A document may have several paths: a question that names one is answered from that one.
+    return generate(backend, question, [r.asDict() | ({"source": paper} if paper is not None else {}) for r in found])
 
 
 def evaluate(spark: SparkSession, store: Store, golden: str) -> dict:

@@ -17,17 +17,27 @@ MAX_UPLOAD = 25 * 1024 * 1024
 Extractor = Callable[[bytes], list[tuple[int, str]]]
 
 
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """The reader's columns and ``relative``, the path below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").option("ignoreCorruptFiles", False).load(root)
+    base = re.sub(r"^(?:[a-z]+:)?/*", "/", root.rstrip("/") + "/")
+    inner = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*", "/")
+    return files.withColumn("relative", F.substring(inner, F.lit(len(base) + 1), F.length(inner)))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified) of the files of :func:`scan`, without reading their content."""
+    return _files(spark, root).select(F.col("relative").alias("path"), "length", F.col("modificationTime").alias("modified")).orderBy(fold_case(F.col("path")), "path")
+
+
 def scan(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
     """(path, digest, length, modified) of all PDF files under ``root``, in any case of their ending; path is relative to it.
 
     A file that can't be read fails the scan rather than being left out: a partial listing would delete documents.
     Hidden files (names beginning with ``.`` or ``_``) are not part of the library.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").option("ignoreCorruptFiles", False).load(root)
-    base = root.rstrip("/") + "/"
-    inner = F.regexp_replace(F.col("path"), "^(?:[a-z]+:)?/*", "/")
-    relative = F.substring(inner, F.lit(len(re.sub(r"^(?:[a-z]+:)?/*", "/", base)) + 1), F.length(inner))
-    return files.select(relative.alias("path"), F.sha2("content", 256).alias("digest"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else [])).orderBy(fold_case(F.col("path")), "path")
+    columns = [F.col("relative").alias("path"), F.sha2("content", 256).alias("digest"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else [])]
+    return _files(spark, root).select(*columns).orderBy(fold_case(F.col("path")), "path")
 
 
 def extract_pages(files: DataFrame, first: Extractor, fallback: Extractor) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.config import IndexConfig, RetrievalConfig, load
 from marginalia.operators.questions import aliases, corrections, instruction, needs_scope, variants
 from marginalia.sources.labelled import golden_set, relevance_labels, write_report
-from marginalia.sources.library import delete_file, extract_pages, resolve, scan, store_upload, upload_name
+from marginalia.sources.library import delete_file, extract_pages, listing, resolve, scan, store_upload, upload_name
 from marginalia.operators.sync import legacy_owners
 from marginalia.sources.store import Store, StoreError
 from marginalia.sources.synchronise import synchronise, with_vectors
@@ -22,6 +22,8 @@ def test_scan_and_pages(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"no")
     files = scan(spark, str(tmp_path), content=True)
     assert [r.path for r in files.collect()] == ["B file.pdf", "sub/a.PDF"]
+    listed = listing(spark, str(tmp_path))
+    assert [(r.path, r.length) for r in listed.collect()] == [("B file.pdf", len(PDF)), ("sub/a.PDF", 9)] and "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
     def split_pages(data):  # inside, so it travels to the workers by value
         if b"FAIL" in data:
@@ -95,6 +97,19 @@ def test_store_commits_are_atomic(spark, tmp_path):
     assert e.value.status == "legacy"
 
 
+def test_small_files_on_any_file_system(spark, tmp_path):
+    from marginalia.sources.folder import Folder
+
+    folder = Folder(spark, f"file://{tmp_path}/sub")
+    folder.local = None  # as for a file system that Python doesn't see
+    assert folder.names() == [] and folder.read("a.json") is None
+    for n in (1, 2):
+        folder.write("a.json", {"n": n})
+    assert json.loads(folder.read("a.json")) == {"n": 2} and [n for n in folder.names() if not n.startswith(".")] == ["a.json"]
+    folder.delete("a.json")
+    assert folder.read("a.json") is None
+
+
 def test_read_back_compares_values(spark, tmp_path, monkeypatch):
     from pyspark.sql import DataFrameReader
 
