@@ -29,8 +29,10 @@ _BREAKS = [10, 11, 12, 13, 133, 8232, 8233]
 _IS_SPACE, _IS_BREAK = np.zeros(12290, dtype=bool), np.zeros(12290, dtype=bool)
 _IS_SPACE[_SPACES] = True
 _IS_BREAK[_BREAKS] = True
-_PAGE_MARKS = np.array([12, 8232, 8233], dtype=np.uint32)
-_CLAUSE_ENDS = np.array([ord(c) for c in ",;:–—"], dtype=np.uint32)
+_IS_PAGE, _IS_CLAUSE = np.zeros(12290, dtype=bool), np.zeros(12290, dtype=bool)
+_IS_PAGE[[12, 8232, 8233]] = True
+_IS_CLAUSE[[ord(c) for c in ",;:–—"]] = True
+_WIDE_ENDS = np.array([ord(c) for c in "。！？"], dtype=np.uint32)
 _HEADING = regex.compile(r"#{1,6}\s")
 _SENTENCE = regex.compile(r"(?<=[.!?…]['\")\]»”’]?)\s+(?=[\"“„«'(\[¿¡\p{Lu}\p{Lt}\p{N}\-*#])")
 # Ends of paragraphs and sentences that no white space follows.
@@ -69,7 +71,8 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends, starts = word_ends[:-1], word_starts[1:]
     if len(ends):
         kinds = np.full(len(ends), WORD)
-        kinds[np.isin(codes[ends - 1], _CLAUSE_ENDS)] = CLAUSE
+        last = codes[ends - 1]
+        kinds[_among(last, _IS_CLAUSE)] = CLAUSE
         breaks = _among(codes, _IS_BREAK)
         breaks[1:] &= ~((codes[1:] == 10) & (codes[:-1] == 13))  # one line end
         lines = np.concatenate([[0], np.cumsum(breaks)])
@@ -77,11 +80,12 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds[n_lines == 1] = LINE
         found = [m.start() for m in _SENTENCE.finditer(text) if not _ABBREVIATION.search(text, max(0, m.start() - 8), m.start())]
         kinds[np.searchsorted(ends, found)] = SENTENCE
-        marks = np.concatenate([[0], np.cumsum(np.isin(codes, _PAGE_MARKS))])
+        marks = np.concatenate([[0], np.cumsum(_among(codes, _IS_PAGE))])
         heads = np.flatnonzero((codes[starts] == 35) & _among(codes[starts - 1], _IS_BREAK))
         heads = [k for k in heads.tolist() if _HEADING.match(text, int(starts[k]))]
-        kinds[np.isin(codes[ends - 1], np.array([ord(c) for c in "。！？"], dtype=np.uint32))] = SENTENCE
-        kinds[(n_lines >= 2) | (marks[starts] > marks[ends]) | (codes[ends - 1] == ord("¶"))] = PARAGRAPH
+        if not text.isascii():
+            kinds[np.isin(last, _WIDE_ENDS)] = SENTENCE
+        kinds[(n_lines >= 2) | (marks[starts] > marks[ends]) | (last == ord("¶"))] = PARAGRAPH
         kinds[heads] = PARAGRAPH
     else:
         kinds = np.zeros(0, dtype=np.int64)
@@ -122,8 +126,10 @@ def _shared(text: str, limit: int, overlap: int, ends: np.ndarray, starts: np.nd
     has = at < len(word_starts)
     begin[has] = np.minimum(begin[has], word_starts[at[has]])
     # No word begins in the shared stretch: cut into it, unless that tears a character.
-    for i in np.flatnonzero((begin >= ends) & (kinds > WORD)).tolist():
-        p = max(0, int(back[i]))
+    inner = np.flatnonzero((begin >= ends) & (kinds > WORD))
+    begin[inner] = np.maximum(back[inner], 0)
+    for i in [] if text.isascii() else inner.tolist():
+        p = int(begin[i])
         while p < ends[i] and _TIED.match(text, p):
             p += 1
         begin[i] = p
