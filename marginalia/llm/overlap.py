@@ -339,7 +339,7 @@ class Overlap:
         split = F.regexp_replace(F.lower("split"), r"[^\p{L}\p{N}]+", "")
         side = F.when(split == training, "c").when(split.isin(*evaluation), "e")
         rows = labels.where(F.col("label_id").isNotNull()).groupBy("label_id").agg(F.max(F.struct("loaded_at", "query", F.col("split"), "source")).alias("v")).select("label_id", "v.*")
-        rows = rows.withColumn("side", side).withColumn("split", split).where("side IS NOT NULL AND query IS NOT NULL")
+        rows = self.scratch.write(rows.withColumn("side", side).withColumn("split", split).where("side IS NOT NULL AND query IS NOT NULL"), "rows")
         queries = rows.select("query").distinct()
         tokens = self.scratch.write(queries.mapInArrow(_tokens, _TOKENS_SQL).where(F.size("words") > 0), "tokens")
         self.word_counts = self.scratch.write(word_counts(tokens), "counts")
