@@ -142,11 +142,13 @@ def _least_cost(limit: int, lo: int, hi: int, ends: np.ndarray, begin: np.ndarra
     """The cheapest pieces over all cuts: each adds its price, the square of the piece's shortfall (half for the last piece), and a quarter."""
     m = len(ends)
     node_end, node_begin = np.concatenate([[lo], ends, [hi]]), np.concatenate([[lo], begin, [hi]])
-    extra = [0.25, *(_PRICE[kinds] + 0.25).tolist(), 0.25]
     share = node_begin / limit
     # The shortfall is share[i] + q[j]: its square, less q[j] squared, is share[i]^2 + 2 q[j] share[i].
-    double, where = 2.0 * share, (1.0 - node_end / limit).tolist()
-    square = (share * share).tolist()
+    double, short = 2.0 * share, 1.0 - node_end / limit
+    square = share * share
+    # What a node adds to the least of its window: its price and a quarter, q squared, and its own share squared.
+    adds = (short * short + square + np.concatenate([[0.0], _PRICE[kinds], [0.0]]) + 0.25).tolist()
+    where = short.tolist()
     # Beginnings never go back, so the pieces that may end at j come from a window of nodes that only moves forward.
     lowest = np.searchsorted(node_begin, node_end - limit).tolist()
     held, room = np.empty(m + 2), np.empty(m + 2)  # held: cost + share^2
@@ -159,7 +161,7 @@ def _least_cost(limit: int, lo: int, hi: int, ends: np.ndarray, begin: np.ndarra
         if j <= m:
             total += held[first:j]
             best = int(total.argmin())
-            held[j] = total[best] + q * q + extra[j] + square[j]
+            held[j] = total.item(best) + adds[j]
         else:
             total += square[first:j]
             total += q * q
