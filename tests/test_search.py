@@ -67,6 +67,89 @@ def test_bm25_equals_the_formula(spark):
     assert by == {q: ids for q, ids in brute_bm25(questions, chunks, 7).items() if ids}
 
 
+def test_terms_of_token_equal_the_columns(spark):
+    from marginalia.functions.terms import pieces_of, terms_of_token
+
+    tokens = ["studies", "ies", "dies", "classes", "glass", "maps", "gas", "contributions", "executed", "a1s", "state-of-the-art", "c++", "end.", "x_maps", "and/or.", "u.s.a", "ärzten", "straßes", "名詞", "२०", "1-2-3", "computing", "cuted"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.transform(pieces_of(F.col("t")), word_family).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == {t: terms_of_token(t) for t in tokens}
+
+
+@pytest.mark.parametrize("dense", [4, 0])
+def test_bm25_over_many_blocks_and_shards(monkeypatch, dense):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from marginalia.operators import lexical
+
+    for name, value in {"BLOCK_TOKENS": 40, "SHARD_CHUNKS": 150, "_PROBED": 5, "_DENSE": dense}.items():
+        monkeypatch.setattr(lexical, name, value)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    often = [60 / (i + 1) for i in range(60)]
+    texts = [rng.choices(words, often, k=rng.randint(0, 14)) for _ in range(900)]
+    texts += texts[:300]  # ties
+    ids = [f"c{i:04}" for i in rng.sample(range(9999), len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([f"p{i % 3}" for i in range(len(ids))]), pa.array(texts, pa.list_(pa.string()))], ["id", "paper", "tokens"])
+    blocks = list(lexical._blocks(iter([batch])))
+    assert len(blocks) > 100 and sum(b["n"][0].as_py() for b in blocks) == len(ids) and sum(b["total"][0].as_py() for b in blocks) == sum(map(len, texts))
+    mean = sum(map(len, texts)) / len(texts)
+    asked = [(q, rng.choice([None, None, "p1"]), t, rng.choice([-0.5, 0.0, 0.3, 1.0, 2.0, 4.0])) for q in range(60) for t in rng.sample(words, rng.randint(1, 8))]
+    scopes = {q: s for q, s, *_ in asked}
+    asked = [(q, scopes[q], t, w) for q, _, t, w in asked]
+    table = pa.table(dict(zip(("_q", "scope", "term", "weight"), map(list, zip(*asked)))))
+    rows = [r for b in lexical._searching(SimpleNamespace(value=table), mean, 7, pa.string())(iter(blocks)) for r in b.to_pylist()]
+    got, want = {}, {}
+    for r in rows:
+        got.setdefault(r["_q"], []).append((-r["bm25_score"], r["id"]))
+    weights = {}
+    for q, _, t, w in asked:
+        weights.setdefault(q, {})[t] = w
+    for q, own in weights.items():
+        for n, (i, t) in enumerate(zip(ids, texts)):
+            if own.keys() & set(t) and scopes[q] in (None, f"p{n % 3}"):
+                score = sum(w * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for x, w in own.items() if x in t)
+                want.setdefault(q, []).append((-round(score, 9), i))
+    assert {q: [i for _, i in sorted(r)[:7]] for q, r in got.items()} == {q: [i for _, i in sorted(r)[:7]] for q, r in want.items()}
+
+
+def test_bm25_in_rounds_of_questions(spark, monkeypatch):
+    from marginalia.operators import lexical
+
+    chunks = spark.createDataFrame([(i, f"red{i % 5} blue{i % 3} stone") for i in range(40)], "id int, text string")
+    ask = spark.createDataFrame([(q, f"red{q} blue{q} stone") for q in range(5)], "query_id int, text string")
+    once = sorted(map(tuple, bm25(ask, chunks, 4).collect()))
+    monkeypatch.setattr(lexical, "SENT_TERMS", 3)
+    assert sorted(map(tuple, bm25(ask, chunks, 4).collect())) == once and len(once) == 20
+
+
+def test_bm25_keeps_little_on_disk(spark):
+    """Less than the tables it reads; a row a chunk and term, written twice, took half as much again."""
+    from pathlib import Path
+
+    from marginalia.plans.search_queries import bm25_topk
+    from marginalia.runtime import shared_dir
+
+    data, shared = Path("/root/testdata/sf0.01"), Path(shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    before = size()
+    assert bm25_topk(spark, str(data)).count() > 0
+    assert size() - before < sum((data / f"{t}.parquet").stat().st_size for t in ("sync_chunks", "relevance_labels_to_review"))
+
+
+def test_latest_of_few_equals_latest(spark, monkeypatch):
+    from marginalia.operators import chunks as module
+
+    rng = random.Random(5)
+    rows = [(f"k{rng.randint(0, 300)}" if rng.random() < 0.95 else None, rng.choice([None, 1, 2, 3]), rng.choice("abc")) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, loaded_at int, v string")
+    want = sorted(map(tuple, latest_by(df, "k").collect()), key=repr)
+    assert sorted(map(tuple, module.latest_of_few(df, "k").collect()), key=repr) == want
+    monkeypatch.setattr(module, "SENT_KEYS", 0)
+    assert sorted(map(tuple, module.latest_of_few(df, "k").collect()), key=repr) == want
+
+
 def test_scope_keeps_statistics(spark):
     chunks = spark.createDataFrame([("a", "red stone", "p"), ("b", "red red", "q"), ("c", "blue", "p")], "id string, text string, paper string")
     ask = lambda scope: {r.id: r.bm25_score for r in bm25(spark.createDataFrame([(1, "red", scope)], "query_id int, text string, scope string"), chunks, 5, scope="scope").collect()}
