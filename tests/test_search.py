@@ -262,6 +262,20 @@ def test_whole_search(spark):
         search(ask, chunks, RetrievalConfig(mode="dense"))
 
 
+def test_search_shuffles_only_texts_that_were_listed(spark, monkeypatch):
+    from marginalia import search as module
+    from marginalia.plans import search_queries
+
+    read = []
+    real = module.rerank
+    monkeypatch.setattr(module, "rerank", lambda candidates, *args: read.append(candidates) or real(candidates, *args))
+    want = sorted(map(tuple, search_queries.lexical_search(spark, "/root/testdata/sf0.001").collect()))
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan and want
+    monkeypatch.setattr(module, "SENT_IDS", 0)
+    assert sorted(map(tuple, search_queries.lexical_search(spark, "/root/testdata/sf0.001").collect())) == want
+
+
 def test_search_forms_scope_and_context(spark):
     from marginalia.config import ContextConfig, RetrievalConfig
 
