@@ -114,6 +114,61 @@ def test_bm25_over_many_blocks_and_shards(monkeypatch, dense):
     assert {q: [i for _, i in sorted(r)[:7]] for q, r in got.items()} == {q: [i for _, i in sorted(r)[:7]] for q, r in want.items()}
 
 
+def test_bm25_of_questions_that_share_common_terms(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from marginalia.operators import lexical
+
+    for name, value in {"BLOCK_TOKENS": 300, "SHARD_CHUNKS": 500, "_DENSE": 3}.items():
+        monkeypatch.setattr(lexical, name, value)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    often = [40 / (i + 1) for i in range(40)]
+    texts = [rng.choices(words, often, k=rng.randint(0, 14)) for _ in range(2000)]
+    texts += texts[:500]  # ties
+    ids = [f"c{i:04}" for i in rng.sample(range(9999), len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.string()), pa.array(texts, pa.list_(pa.string()))], ["id", "paper", "tokens"])
+    blocks = list(lexical._blocks(iter([batch])))
+    mean = sum(map(len, texts)) / len(texts)
+    weight = {w: rng.choice([-0.5, 0.0] if i == 3 else [0.3, 1.0, 2.0]) for i, w in enumerate(words)}
+    groups = [words[:1], words[:2], words[1:4], ["w3"], ["w30"]]
+    asked = {q: {w: weight[w] for w in {*groups[q % 5], *rng.sample(words[4:], q % 4)}} for q in range(60)}
+    rows = [(q, None, w, x) for q, own in asked.items() for w, x in own.items()]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.float64()))], ["_q", "scope", "term", "weight"])
+    common = frozenset(["w0", "w1", "w2", "w3", "unasked"])
+    assert sum(map(len, lexical._Asked(table, common).shared.values())) == 48
+    found = [r for b in lexical._searching(SimpleNamespace(value=table), mean, 7, pa.string(), common)(iter(blocks)) for r in b.to_pylist()]
+    got = {q: sorted((-r["bm25_score"], r["id"]) for r in found if r["_q"] == q)[:7] for q in asked}
+    for q, own in asked.items():
+        scored = [(-round(sum(x * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w, x in own.items()), 9), i) for i, t in zip(ids, texts) if own.keys() & set(t)]
+        assert [i for _, i in got[q]] == [i for _, i in sorted(scored)[:7]], q
+    assert len(found) < 60 * 7 * 2  # of several shards, what isn't among the best of all isn't handed on
+
+
+def test_bm25_asks_the_same_terms_once(spark, monkeypatch):
+    from marginalia.operators import lexical
+
+    chunks = spark.createDataFrame([(i, f"red{i % 5} blue{i % 3} stone stone") for i in range(40)], "id int, text string")
+    ask = [(q, f"stone red1 {'stone' if q % 2 else ''} unknown{q}") for q in range(40)] + [(None, "red1 stone")]
+    counts, plain = [], lexical._Asked
+    monkeypatch.setattr(lexical, "_searching", lambda own, *a, f=lexical._searching: counts.append(len(plain(own.value).questions)) or f(own, *a))
+    got = sorted(map(tuple, bm25(spark.createDataFrame(ask, "query_id int, text string"), chunks, 4).collect()), key=repr)
+    assert counts == [2] and len(got) == 41 * 4
+    for q, text in ask:
+        alone = bm25(spark.createDataFrame([(q, text)], "query_id int, text string"), chunks, 4).collect() if q in (None, 0, 1) else None
+        assert alone is None or sorted(map(tuple, alone), key=repr) == [r for r in got if r[0] == q]
+
+
+def test_bm25_topk_asks_with_every_label(spark):
+    from marginalia.plans.search_queries import bm25_topk
+
+    data = "/root/testdata/sf0.001"
+    asked = {r.label_id for r in latest_by(spark.read.parquet(f"{data}/relevance_labels_to_review.parquet"), "label_id").collect() if r.query}
+    assert {r.query_id for r in bm25_topk(spark, data).select("query_id").distinct().collect()} == asked and len(asked) > 100
+
+
 def test_bm25_in_rounds_of_questions(spark, monkeypatch):
     from marginalia.operators import lexical
 
